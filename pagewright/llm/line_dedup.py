@@ -58,7 +58,8 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
                 largest = max(ids)
                 for (doc, text_h), (n_lines, at) in docs.items():
                     if decided and doc != largest:
-                        out.append((h1, h2, doc, text_h, n_lines, _positions(at), 0))
+                        # Needs no key any more: dealt by the text's hash, so that it weighs on no common line's range.
+                        out.append((text_h, 0, doc, text_h, n_lines, _positions(at), 0))
                     else:
                         out.append((h1, h2, doc, text_h, n_lines, _positions(at), len(ids) if decided else 1))
             found.clear()
@@ -105,12 +106,12 @@ def _first_occurrences(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
         for batch in batches:
             for h1, h2, doc, text_h, n_lines, at, docs in zip(*(c.to_pylist() for c in batch.columns)):
-                if (h1, h2) != key:
-                    key, first, last, count, waiting = (h1, h2), doc, None, 0, []
                 if docs == 0:
-                    # Decided where it was read. It is already counted by the row of its flush that stands for it.
+                    # Decided where it was read, and counted by the row of its flush that stands for it.
                     out.append((doc, text_h, n_lines, at))
                     continue
+                if (h1, h2) != key:
+                    key, first, last, count, waiting = (h1, h2), doc, None, 0, []
                 if doc != last:
                     count, last = count + docs, doc
                 elif docs > 1:

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import line_dedup, sharding
+from pagewright.llm import byte_bpe, decontamination, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_virtual_slots": sharding.op7_virtual_slots,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontamination": decontamination.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
