@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.common import pick, read
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CACHED_PAIRS = 1_000_000
 CACHED_PIECE_BYTES = 64
 
@@ -171,9 +171,9 @@ class _Pieces(dict):
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> array:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
-        ids = array("i", encode_piece(self.vocabulary, raw))
+        ids = tuple(encode_piece(self.vocabulary, raw))
         if len(raw) <= CACHED_PIECE_BYTES:
             if len(self) >= CACHED_PIECES:
                 self.clear()
@@ -202,7 +202,7 @@ def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.Reco
                 some = batch.slice(part, 1000)
                 counts, id_hashes, decoded, held = [], [], [], array("i")
                 for text in some.column("text").to_pylist():
-                    ids = array("i", chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
+                    ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
                     counts.append(len(ids))
                     id_hashes.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
