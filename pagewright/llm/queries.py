@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, quality, sharding
+from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op4_quality": quality.op4_quality,
+    "op5_order_minhash": near_dedup.op5_order_minhash,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_virtual_slots": sharding.op7_virtual_slots,
     "op9_line_dedup": line_dedup.op9_line_dedup,
