@@ -1,22 +1,58 @@
-"""The corpus pipeline: language, lines, near copies, benchmark passages, tokens."""
+"""The corpus pipeline: language, lines, near copies, benchmark passages, tokens.
+
+Each stage takes the documents its predecessor kept, written and read again, and returns the documents it keeps with all
+their columns; the last returns token ids. Texts change where lines or passages are cut; nothing else does.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import line_dedup
+from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup
 from pagewright.llm.common import materialize, read
 
+#: A document whose best language is less likely than this is in no language known.
+LEAST_CHANCE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language the model knows; those without letters or without a likely language go."""
+    found = language_id.identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"), language_id.learn(docs))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CHANCE)).select("doc.*")
+
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines found in many documents; a document stays even when no line is left."""
     return line_dedup.dedup_lines(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("line dedup", drop_lines)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of benchmark items; a document that is little else goes."""
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of ids and decoded bytes."""
+    return byte_bpe.encode(docs, *byte_bpe.public_vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language id", identify_language),
+    ("line dedup", drop_lines),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("byte bpe", tokenize),
+]
 
-#: Order MinHash and the learned language model have no SQL form; a brute-force version stands in the tests.
+#: The learned language model and Order MinHash have no SQL form; a brute-force version stands in the tests.
 ORACLE_SQL: str | None = None
 
 
