@@ -14,7 +14,8 @@ MAX_LINKS = 20
 def raw_links(pages: DataFrame, selector: str, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, base, pos, href of every link the selector matches, in document order; the source is read once by the parser."""
     found = pages.select(key, F.col(url).alias("base"), markup.links_in(F.col(html), selector).alias("_links"))
-    return found.select(key, "base", F.posexplode("_links").alias("pos", "href"))
+    # The outer form, as the plain one would test the parsed links in a filter of its own, and so parse each page twice.
+    return found.select(key, "base", F.posexplode_outer("_links").alias("pos", "href")).where("pos IS NOT NULL")
 
 
 def resolved(links: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def account(
     Order: guard, repeats, robots, truncation. A repeat of a link that robots forbid so is a repeat. `scope` says whose
     robots rules apply: each link's own origin, or that of the index page for all its links.
     """
-    vetted = guard.vet(links, dns, kind=kind, allow_private_hosts=allow_private_hosts)
+    # One exchange by the index page serves both numberings and the totals; a page's links come from one row anyway.
+    vetted = guard.vet(links, dns, kind=kind, allow_private_hosts=allow_private_hosts).repartition(key)
     passed = F.col("reason").isNull()
     # Links without a text to compare keep to themselves, so that no value repeats another's reason.
     nth = F.row_number().over(Window.partitionBy(key, F.col("url"), passed).orderBy("pos"))
