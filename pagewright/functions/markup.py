@@ -191,6 +191,11 @@ def base_of(root: Element) -> str | None:
     return found[0].attributes["href"] if found else None
 
 
+def _once(parser):
+    """Keeps filters on parsed fields above the parser: pushed below, they would parse each page a second time."""
+    return parser.asNondeterministic()
+
+
 def links_in(html: Column, selector: str) -> Column:
     """Array of the `href` of each element the selector matches, null where it has none; SVG links count by either name."""
     options = selector
@@ -199,7 +204,7 @@ def links_in(html: Column, selector: str) -> Column:
     def found(sources: pd.Series) -> pd.Series:
         return sources.map(lambda s: [n.attributes.get("href", n.attributes.get("xlink:href")) for n in select(parse(s), options)])
 
-    return found(html)
+    return _once(found)(html)
 
 
 def fields_in(html: Column, **selectors: str) -> Column:
@@ -214,4 +219,4 @@ def fields_in(html: Column, **selectors: str) -> Column:
             rows.append({name: inner_text(m[0]) if m else None for name, m in matches.items()})
         return pd.DataFrame(rows, columns=list(selectors))
 
-    return found(html)
+    return _once(found)(html)
