@@ -127,14 +127,17 @@ def _counts(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, smoothing: float = 0.5) -> LanguageModel:
-    """Fits on about `per_language` rows of each language at most (text, lang; null lang ignored), drawn by hash of the text."""
-    rows = pick(labelled, "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Fits on about `per_language` rows of each language at most (doc_id, text, lang; null lang ignored).
+
+    Rows are drawn by a hash of id and text: by the text alone, a text with many copies could be drawn with all of them.
+    """
+    rows = pick(labelled, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(per_language / sizes[lang]))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
     # The sample is bounded, so a fixed number of tasks counts it; their counts are summed by bucket before they leave.
     counted = sample.repartition(24).mapInArrow(_counts(languages), "lang string, bucket int, n long")
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))

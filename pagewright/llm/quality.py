@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     share = F.create_map(*(x for q, n in sizes.items() for x in (F.lit(q), F.lit(per_label / n))))
     # At most about 2 * per_label ids, so the broadcast is bounded by a parameter.
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < share[F.col("quality")] * (1 << 20))
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text")
+    joined = pick(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # Rows that repeat an id count once, so that they can't outgrow the sample.
+    rows = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = rows.mapInArrow(_sampled, f"doc_id {kind}, quality int, at binary, counts binary").toPandas()
     found = found.sort_values(["doc_id", "at"], kind="stable")
     return fit([(q, np.frombuffer(a, np.uint32), np.frombuffer(c, np.uint32)) for q, a, c in zip(found["quality"], found["at"], found["counts"])])

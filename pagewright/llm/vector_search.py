@@ -227,7 +227,7 @@ def search(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFr
     rows = materialize(integer_vectors(vectors), "vectors")
     shape = rows.agg(F.max(F.length("v") / 8).cast("int").alias("width"), F.max("norm").alias("largest"), F.count(F.lit(1)).alias("n")).first()
     width, largest, n = shape.width or 0, shape.largest or 0.0, shape.n
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).select("vec_id", "v").toPandas()
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).select("vec_id", "v").limit(4 * SAMPLE).toPandas()
     drawn = drawn.sort_values(["vec_id", "v"])
     sample, sample_ids = unpack(list(drawn["v"]), width), drawn["vec_id"].to_numpy(np.int64)
     pivots = choose_pivots(sample, width, largest)
