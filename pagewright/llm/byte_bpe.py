@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.common import pick, read
 
-CACHED_PIECES = 800_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 500_000
+CACHED_PAIRS = 600_000
 CACHED_PIECE_BYTES = 64
 
 

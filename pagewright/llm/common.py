@@ -20,7 +20,16 @@ def word_split(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD_BYTES).split()
 
 
+#: Rows sent to a Python worker at once; texts can be long, and a worker holds a few copies of a batch.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -56,4 +65,5 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra or clashing columns of an input never reach an operator."""
+    bounded_batches(df.sparkSession)
     return df.select(*(F.col(f"`{n}`") for n in names))

@@ -24,7 +24,7 @@ from pagewright.llm.common import pick, read, shuffle_partitions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FLUSH_KEYS = 100_000
+FLUSH_KEYS = 40_000
 NO_ID = -(2**63)
 
 _BLANK = b" \t\n\x0b\x0c\r"
