@@ -9,9 +9,11 @@ Candidates are verified on whole texts: shared labels inside a diagonal band are
 texts, and the pair is linked if chain / (shingles of both - chain) is at least 0.8.
 
 Exact copies (equal word sequences) are one node from the start, chosen with partial aggregation. A bucket first links
-each member to its smallest one, never all pairs. Later rounds look only into buckets whose members still belong to
-several classes, compare members of different classes by a 128-bit sketch inside the join, and verify up to
-`PAIRS_A_ROUND` untested pairs of two classes a round, until no untested pair is left; so the limit drops nothing.
+its members to one of them, never all pairs: the hub is the member that meets most others over all tables, which in a
+family of copies is one near their common origin. What is left are buckets whose other members belong to several
+classes. Each is read in blocks of bounded bytes, every two blocks of a large bucket together; a block counts the shared
+labels of its members at once and verifies only pairs whose counts allow the similarity and whose classes are still apart,
+so it returns fewer links than it has members, and no pair that shares a bucket goes unexamined.
 
 Defined cases: a null text or one without words is alone in its class; fewer than five words make one shingle; rows that
 repeat a doc_id are one document that links the classes of all its texts; a null doc_id is stood for by a negative number
@@ -26,18 +28,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, pick, read, word_split
+from pagewright.llm.common import materialize, pick, read, shuffle_partitions, word_split
 
 SHINGLE = 5
 TABLES = 12
 SAMPLED = 2
 SIMILARITY = 0.8
-SKETCH_DISTANCE = 32
-PAIRS_A_ROUND = 8
-CACHED_WORDS = 500_000
+#: Bytes of label sequences in a block, and members of a block.
+BLOCK_BYTES, BLOCK_MEMBERS = 4 << 20, 1024
+#: Labels held by so many members of a block are counted as a matrix product, rarer ones pair by pair.
+COMMON = 24
+#: Longer texts are hashed table by table, which bounds the memory.
+TOGETHER = 1 << 17
+CACHED_WORDS = 300_000
 
 _U = np.uint64
 
@@ -68,7 +74,8 @@ def labels(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     size = min(SHINGLE, n)
     shingles = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
-        shingles = _mix(shingles + ids[k : n - size + 1 + k] + _U(0x9E3779B97F4A7C15))
+        shingles = (shingles + ids[k : n - size + 1 + k]) * _U(0x9E3779B97F4A7C15)
+    shingles = _mix(shingles)
     order = np.argsort(shingles, kind="stable")
     sorted_ = shingles[order]
     first = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
@@ -78,49 +85,39 @@ def labels(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     return _mix(shingles + occurrence * _U(0xD1B54A32D192ED03))
 
 
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (table + 1) & 0xFFFFFFFFFFFFFFFF for table in range(TABLES)], np.uint64)
+
+
 def order_keys(marks: np.ndarray) -> list[int]:
     """One key a table: the labels of least hash, in text order."""
     sampled = min(SAMPLED, len(marks))
-    keys = []
-    for table in range(TABLES):
-        hashed = _mix(marks ^ _U(0x9E3779B97F4A7C15 * (table + 1) & 0xFFFFFFFFFFFFFFFF))
-        least = np.sort(hashed.argpartition(sampled - 1)[:sampled]) if len(marks) > sampled else np.arange(sampled)
-        key = np.zeros(1, np.uint64)
-        for k in least:
-            key = _mix(key * _U(3) + marks[k])
-        keys.append(int(key.view(np.int64)[0]))
-    return keys
-
-
-def sketch(marks: np.ndarray) -> tuple[int, int]:
-    """128 bits, one for the least hash of each of 128 bins; an empty bin borrows from the next full one."""
-    hashed = np.sort(_mix(marks ^ _U(0xA0761D6478BD642F)))
-    bins = np.arange(128, dtype=np.uint64) << _U(57)
-    at = np.searchsorted(hashed, bins)
-    full = np.flatnonzero((at < len(hashed)) & (hashed[np.minimum(at, len(hashed) - 1)] >> _U(57) == np.arange(128, dtype=np.uint64)))
-    lender = full[np.searchsorted(full, np.arange(128)) % len(full)]
-    far = (lender - np.arange(128)) % 128
-    bits = _mix(hashed[at[lender]] + far.astype(np.uint64)) & _U(1)
-    low, high = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-    return low, high
+    if len(marks) <= SAMPLED:
+        least = np.broadcast_to(np.arange(sampled), (TABLES, sampled))
+    else:
+        blocks = [_SEEDS] if len(marks) <= TOGETHER else np.split(_SEEDS, TABLES)
+        least = np.vstack([np.sort(_mix(marks[None] ^ seeds[:, None]).argpartition(sampled - 1, axis=1)[:, :sampled], axis=1) for seeds in blocks])
+    keys = np.zeros(TABLES, np.uint64)
+    for k in range(sampled):
+        keys = _mix(keys * _U(3) + marks[least[:, k]])
+    return keys.view(np.int64).tolist()
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Words()
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(4)]
         for raw in batch.column("text").cast(pa.binary()).to_pylist():
             words = word_split(raw or b"")
             marks = labels(words, cache)
             if len(marks):
                 e1, e2 = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64).tolist()
-                row = (len(marks), e1, e2, *sketch(marks), order_keys(marks))
+                row = (len(marks), e1, e2, order_keys(marks))
             else:
-                row = (0, None, None, None, None, None)
+                row = (0, None, None, None)
             for column, value in zip(columns, row):
                 column.append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["rid", "n", "e1", "e2", "s1", "s2", "keys"])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["rid", "n", "e1", "e2", "keys"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +163,77 @@ def _aligned(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def shared_counts(seqs: list[np.ndarray]) -> np.ndarray:
+    """How many labels each two sequences share."""
+    owner = np.repeat(np.arange(len(seqs)), [len(q) for q in seqs])
+    _, label, held = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+    common = held >= COMMON
+    place = np.cumsum(common) - 1
+    counts = np.zeros((len(seqs), len(seqs)), np.float32)
+    for at in range(0, int(common.sum()), 4096):
+        here = common[label] & (place[label] >= at) & (place[label] < at + 4096)
+        matrix = np.zeros((len(seqs), min(4096, int(common.sum()) - at)), np.float32)
+        matrix[owner[here], place[label[here]] - at] = 1
+        counts += matrix @ matrix.T
+    order = np.argsort(label, kind="stable")
+    ranked, owners = label[order], owner[order]
+    for lag in range(1, COMMON):
+        both = (ranked[lag:] == ranked[:-lag]) & ~common[ranked[lag:]]
+        left, right = owners[:-lag][both], owners[lag:][both]
+        np.add.at(counts, (left, right), 1)
+        np.add.at(counts, (right, left), 1)
+    return counts
+
+
+def block_links(nodes: list[int], classes: list[int], seqs: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Verified links that join the classes of a block's members, no more than it takes."""
+    size = np.array([len(q) for q in seqs], np.float32)
+    counts = shared_counts(seqs)
+    reach = counts * (1 + least) >= least * (size[:, None] + size[None]) - 0.5
+    held = np.array(classes)
+    reach &= held[:, None] != held[None]
+    parent = {c: c for c in classes}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    left, right = np.nonzero(np.triu(reach, 1))
+    # The likeliest pairs first, so that most others are settled by them.
+    for k in np.argsort(-counts[left, right], kind="stable"):
+        a, b = int(left[k]), int(right[k])
+        if top(classes[a]) != top(classes[b]) and alignment(seqs[a], seqs[b], least) >= least:
+            parent[top(classes[a])] = top(classes[b])
+            found.append((nodes[a], nodes[b]))
+    return found
+
+
+def _blocks(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams rows sorted by block, one block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def links() -> pa.RecordBatch:
+            nodes, classes, seqs = zip(*held)
+            found = block_links(nodes, classes, [np.frombuffer(q, np.uint32) for q in seqs], least)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, node, cls, seq in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "class", "seq"))):
+                if key != block and held:
+                    yield links()
+                    held.clear()
+                block = key
+                held.append((node, cls, seq))
+        if held:
+            yield links()
+
+    return run
+
+
 def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -201,51 +269,64 @@ def row_id() -> Column:
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """rid, class of every distinct rid of the documents: the class is its smallest rid."""
     rows = pick(docs, "doc_id", "text").select(row_id().alias("rid"), "text")
-    marked = materialize(rows.mapInArrow(_sketches, "rid long, n int, e1 long, e2 long, s1 long, s2 long, keys array<long>"), "sketches")
+    marked = materialize(rows.mapInArrow(_sketches, "rid long, n int, e1 long, e2 long, keys array<long>"), "sketches")
     nodes = materialize(
-        marked.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("rid", "n", "s1", "s2", "keys")).alias("x")).select("e1", "e2", "x.*").withColumnRenamed("rid", "node"),
+        marked.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("rid", "n", "keys")).alias("x")).select("e1", "e2", "x.*").withColumnRenamed("rid", "node"),
         "nodes",
     )
-    bands = nodes.select("node", F.posexplode("keys").alias("t", "key"))
-    buckets = materialize(bands.groupBy("t", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("t", "key", "hub"), "buckets")
-    members = materialize(bands.join(buckets, ["t", "key"]).select("t", "key", "node", "hub"), "members")
-    wanted = members.select(F.col("node").alias("rid")).distinct()
+    bands = nodes.select("node", "n", F.posexplode("keys").alias("t", "key"))
+    sizes = materialize(bands.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    met = materialize(bands.join(sizes, ["t", "key"]), "met")
+    fame = met.groupBy("node").agg(F.sum("members").alias("fame"))
+    ranked = materialize(met.join(fame, "node"), "ranked")
+    # The most met member of each bucket.
+    hubs = materialize(ranked.groupBy("t", "key").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("x")).select("t", "key", (-F.col("x.m")).alias("hub")), "hubs")
+    members = materialize(ranked.join(hubs, ["t", "key"]).where("node <> hub").select("t", "key", "node", "n", "hub"), "members")
+    wanted = members.select("node").union(hubs.select("hub")).distinct().withColumnRenamed("node", "rid")
     sequences = materialize(rows.join(wanted, "rid", "left_semi").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        seq_a, seq_b = (sequences.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
-        joined = pairs.join(seq_a, "a").join(seq_b, "b").select("a", "b", "seq_a", "seq_b")
-        return materialize(joined.mapInArrow(_aligned(least), "a long, b long, linked boolean"), "verified")
-
+    pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    seq_a, seq_b = (sequences.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
+    tested = materialize(pairs.join(seq_a, "a").join(seq_b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_aligned(least), "a long, b long, linked boolean"), "tested")
+    known = classes_of(tested.where("linked").select("a", "b"))
+
+    # Pairs without the hub are left in buckets whose other members belong to several classes. Of buckets with the same
+    # members one is enough.
+    placed = materialize(members.select("t", "key", "node", "n").join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
+    told = placed.groupBy("t", "key").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("labels"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 24)).alias("y"),
+    )
+    mixed = told.where("low <> high").groupBy("members", "x", "y").agg(F.min(F.struct("t", "key", "labels")).alias("b")).select("b.*", "members")
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("labels") * 4 / BLOCK_BYTES)).cast("int")
+    mixed = materialize(mixed.select("t", "key", parts.alias("parts")), "mixed")
+    within = placed.join(mixed, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("node", "t"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    block = F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = within.withColumn("other", other).select(block.alias("block"), "node", "class").join(sequences, "node")
+    count = shuffle_partitions(docs.sparkSession)
+    more = materialize(
+        dealt.repartition(count, "block").sortWithinPartitions("block", "node").select("block", "node", "class", "seq").mapInArrow(_blocks(least), "a long, b long").distinct(), "links"
+    )
+    known = merged(known, more)
     exact = marked.join(nodes.select("e1", "e2", "node"), ["e1", "e2"]).where("rid <> node").select(F.col("node").alias("a"), F.col("rid").alias("b")).distinct()
-    tested = verified(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    while True:
-        links = tested.where("linked").select("a", "b")
-        known = classes_of(links)
-        own = nodes.select("node", "n", "s1", "s2").join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        placed = members.select("t", "key", "node").join(own, "node")
-        mixed = materialize(placed.groupBy("t", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("t", "key"), "mixed")
-        if _empty(mixed):
-            break
-        within = materialize(placed.join(mixed, ["t", "key"]), "within")
-        left, right = (within.select("t", "key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "s1", "s2", "class"))) for side in "ab")
-        apart = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-        fits = (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a")) & (apart <= SKETCH_DISTANCE)
-        met = left.join(right, (left["t"] == right["t"]) & (left["key"] == right["key"]) & fits)
-        fresh = (
-            met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "class_a", "class_b", apart.alias("apart")).distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        nearest = F.row_number().over(Window.partitionBy("class_a", "class_b").orderBy("apart", "a", "b"))
-        pairs = materialize(fresh.withColumn("k", nearest).where(F.col("k") <= PAIRS_A_ROUND).select("a", "b"), "pairs")
-        if _empty(pairs):
-            break
-        tested = materialize(tested.unionByName(verified(pairs)), "tested")
     # Copies join through their node; ids that several texts share link the classes of these texts.
-    known = classes_of(links.unionByName(exact))
+    known = merged(known, exact)
     return marked.select("rid").distinct().join(known.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"))
 
 
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, class) after more links: only the classes that these touch are worked out again."""
+    if _empty(links):
+        return known
+    of = lambda side: known.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = classes_of(lifted)
+    to = moved.select(F.col("node").alias("class"), F.col("class").alias("to"))
+    old = known.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    return materialize(old.unionByName(moved.join(known, "node", "left_anti").select("node", "class")), "classes")
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents that stand for their class, all columns as they were; the smallest doc_id stays."""
     gone = near_classes(docs, least).where("rid <> class").select(F.col("rid").alias("_rid"))

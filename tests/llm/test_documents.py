@@ -352,3 +352,30 @@ def test_quality_pieces_cover_whole_texts():
     whole, cut = (np.sort(np.concatenate([quality.features(p) for p in quality.pieces(text, size)])) for size in (1 << 18, 200))
     words = [p for p in quality.pieces(text, 200)]
     assert len(words) > 1 and abs(len(whole) - len(cut)) < 8 * len(words) and set(cut) <= set(whole)
+
+
+@pytest.mark.parametrize("members", [1024, 5])
+def test_blocks_find_links_that_hubs_miss(spark, monkeypatch, members):
+    """A family whose copies differ so much that many reach no hub but each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    rng = random.Random(12)
+    base = prose(300, 150).split()
+    docs = []
+    for _ in range(60):
+        copy = list(base)
+        for k in rng.sample(range(0, 150, 15), rng.randrange(1, 6)):
+            copy[k] = f"edit{rng.randrange(3)}"
+        docs.append((len(docs), " ".join(copy)))
+    got = collections.defaultdict(set)
+    for r in near_dedup.near_classes(table(spark, docs)).collect():
+        got[r["class"]].add(str(r.rid))
+    assert sorted(map(str, map(sorted, got.values()))) == plain_classes(docs)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    seqs = [np.unique(rng.integers(0, 80, rng.integers(1, 60))).astype(np.uint32) for _ in range(70)]
+    counts = near_dedup.shared_counts(seqs)
+    for a in range(0, 70, 3):
+        for b in range(70):
+            assert a == b or counts[a, b] == len(np.intersect1d(seqs[a], seqs[b]))
