@@ -283,7 +283,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hubs = materialize(ranked.groupBy("t", "key").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("x")).select("t", "key", (-F.col("x.m")).alias("hub")), "hubs")
     members = materialize(ranked.join(hubs, ["t", "key"]).where("node <> hub").select("t", "key", "node", "n", "hub"), "members")
     wanted = members.select("node").union(hubs.select("hub")).distinct().withColumnRenamed("node", "rid")
-    sequences = materialize(rows.join(wanted, "rid", "left_semi").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
+    # The ids grow with the input, so they are not to be broadcast while they happen to be few: the plan is one at any size.
+    sequences = materialize(rows.join(wanted.hint("merge"), "rid", "left_semi").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
 
     pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     seq_a, seq_b = (sequences.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
