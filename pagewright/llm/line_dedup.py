@@ -58,8 +58,10 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
                 largest = max(ids)
                 for (doc, text_h), (n_lines, at) in docs.items():
                     if decided and doc != largest:
-                        # Needs no key any more: dealt by the text's hash, so that it weighs on no common line's range.
-                        out.append((text_h, 0, doc, text_h, n_lines, _positions(at), 0))
+                        # Needs no key any more: dealt by the document's hash, so that neither a common line nor a group
+                        # of copies weighs on one range.
+                        spread = xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) - 2**63
+                        out.append((spread, 0, doc, text_h, n_lines, _positions(at), 0))
                     else:
                         out.append((h1, h2, doc, text_h, n_lines, _positions(at), len(ids) if decided else 1))
             found.clear()
