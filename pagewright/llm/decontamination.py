@@ -5,7 +5,9 @@ them. A document's words stream through it: the state gives the longest match th
 `window` consecutive item words (a shorter item is one window as a whole); words inside any window are hit.
 
 The automaton is broadcast only below `MAX_ITEM_WORDS` item words. A larger benchmark is cut into groups of items under
-that size, each scanned on its own, and the hits of a document are united; so any benchmark size works.
+that size, each scanned on its own, and the hits of a document are united; so any benchmark size works. Cutting does the same:
+each round unites the hits of all groups before it judges and cuts, and documents that were cut go through another round
+until no group hits them, so results do not depend on the number of groups.
 
 Defined cases: null or wordless texts and items match nothing; items that repeat an id count once; a null item_id is the
 empty text; rows that repeat a doc_id are judged each on its own text; extra columns are ignored or kept as they are.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import pick, read, word_split
+from pagewright.llm.common import materialize, pick, read, word_split
 
 WINDOW = 10
 MAX_ITEM_WORDS = 100_000
@@ -196,14 +198,15 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """doc_id, text_h, n_words, hit (packed bits, one a word; null: none) and items (sorted ids) of every row."""
-    sc = docs.sparkSession.sparkContext
+def _scans(docs: DataFrame, groups: list) -> list[DataFrame]:
+    """doc_id, text_h, n_words, hit, items of every row by each group's automaton (broadcast)."""
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_h"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_h long, "
-    scans = [rows.mapInArrow(_scanner(sc.broadcast(a)), schema + _HIT_ROWS) for a in automata(benchmark, window, max_words)]
-    if len(scans) == 1:
-        return scans[0]
+    return [rows.mapInArrow(_scanner(shared), schema + _HIT_ROWS) for shared in groups]
+
+
+def _united_hits(scans: list[DataFrame], copies: bool = True) -> DataFrame:
+    """The hits of all scans for each row, or, without `copies`, once for all equal rows."""
     together = reduce(DataFrame.unionByName, scans[1:], scans[0])
     # Equal rows meet here; they have equal results, so each group stands for all its copies, told apart by the count.
     grouped = together.groupBy("doc_id", "text_h").agg(
@@ -211,8 +214,17 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count(F.lit(1)) / len(scans)).cast("int").alias("copies"),
     )
-    spread = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "text_h", "n_words", "hits", "items")
-    return spread.mapInArrow(_united, schema + _HIT_ROWS)
+    if copies:
+        grouped = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return grouped.select("doc_id", "text_h", "n_words", "hits", "items").mapInArrow(_united, scans[0].schema)
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """doc_id, text_h, n_words, hit (packed bits, one a word; null: none) and items (sorted ids) of every row."""
+    sc = docs.sparkSession.sparkContext
+    groups = [sc.broadcast(a) for a in automata(benchmark, window, max_words)]
+    scans = _scans(docs, groups)
+    return scans[0] if len(scans) == 1 else _united_hits(scans)
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -231,35 +243,74 @@ def _cut(text: str, hit: np.ndarray) -> str:
     return "\n".join(kept)
 
 
+def _judged(raw: bytes, hit: np.ndarray, max_coverage: float) -> bytes | None:
+    """The text without its hit words; None: it is benchmark text."""
+    return None if hit.sum() > max_coverage * len(hit) else _cut(raw.decode(), hit).encode()
+
+
+def _with_texts(batch: pa.RecordBatch, texts: list[bytes | None], names: list[str]) -> pa.RecordBatch:
+    text = pa.array(texts, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
+
+
 def _cleaner(shared, max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(raw: bytes | None, automaton: ItemAutomaton) -> tuple[bool, bytes | None]:
         """Cuts until no window is left, as a cut may join words into a new one. False: the document is benchmark text."""
         while raw:
-            words = word_split(raw)
-            hit, _ = automaton.scan(words)
+            hit, _ = automaton.scan(word_split(raw))
             if hit is None:
                 break
-            if hit.sum() > max_coverage * len(words):
+            raw = _judged(raw, hit, max_coverage)
+            if raw is None:
                 return False, None
-            raw = _cut(raw.decode(), hit).encode()
         return True, raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [clean(raw, shared.value) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
-            text = pa.array([t for _, t in got], pa.binary()).cast(pa.string())
-            whole = pa.RecordBatch.from_arrays([text if f.name == "text" else batch.column(f.name) for f in batch.schema], names=batch.schema.names)
-            yield whole.filter(pa.array([ok for ok, _ in got], pa.bool_()))
+            yield _with_texts(batch, [t for _, t in got], batch.schema.names).filter(pa.array([ok for ok, _ in got], pa.bool_()))
+
+    return run
+
+
+def _cutter(names: list[str], max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One round of `_cleaner` on rows that carry their united hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for raw, n, bits in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_hit").to_pylist()):
+                texts.append(_judged(raw, np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool), max_coverage))
+            yield _with_texts(batch, texts, names).filter(pa.array([t is not None for t in texts], pa.bool_()))
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def _decontaminate_by_groups(docs: DataFrame, groups: list, max_coverage: float) -> DataFrame:
+    """Rounds over all groups; only the documents that a round cut enter the next."""
+    key = F.coalesce(F.xxhash64("text"), F.lit(0))
+    clean, left = [], docs
+    while True:
+        # A row counts once however many groups hit it and however often it is repeated.
+        hits = _united_hits([s.where("hit IS NOT NULL") for s in _scans(left, groups)], copies=False)
+        hits = materialize(hits.select(F.col("doc_id").alias("_doc"), F.col("text_h").alias("_text_h"), F.col("n_words").alias("_n_words"), F.col("hit").alias("_hit")), "hits")
+        if not hits.take(1):
+            return reduce(DataFrame.unionByName, clean, left)
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_text_h"))
+        clean.append(left.join(hits, same, "left_anti"))
+        found = left.join(hits, same).select(*(F.col(f"`{c}`") for c in left.columns), "_n_words", "_hit")
+        left = materialize(found.mapInArrow(_cutter(left.columns, max_coverage), left.schema), "cut")
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_words: int = MAX_ITEM_WORDS
+) -> DataFrame:
     """The documents without the spans that benchmark windows cover; those covered beyond `max_coverage` go as a whole."""
     sc = docs.sparkSession.sparkContext
-    for automaton in automata(benchmark, window):
-        docs = docs.mapInArrow(_cleaner(sc.broadcast(automaton), max_coverage), docs.schema)
-    return docs
+    groups = [sc.broadcast(a) for a in automata(benchmark, window, max_words)]
+    if len(groups) == 1:
+        return docs.mapInArrow(_cleaner(groups[0], max_coverage), docs.schema)
+    return _decontaminate_by_groups(docs, groups, max_coverage)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

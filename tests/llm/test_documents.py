@@ -220,6 +220,27 @@ def test_decontamination(spark, max_words):
     assert decontamination.scan_documents(table(spark, texts), empty).where("hit IS NOT NULL").count() == 0
 
 
+def test_decontamination_is_alike_for_any_number_of_groups(spark):
+    long = [(k, " ".join(f"item{k}w{j}" for j in range(60))) for k in range(4)]
+    a, b = (t.split() for _, t in long[:2])
+    filler = prose(40, 15).split()
+    docs = [
+        (1, " ".join(a[:45] + b[:40] + filler)),
+        (2, " ".join(filler + a[:45] + b[:40])),
+        # The cut of one item's window joins the halves of another's.
+        (3, " ".join(prose(41, 60).split() + a[10:17] + b[5:20] + a[17:24] + prose(42, 60).split())),
+        (4, " ".join(prose(43, 60).split() + b[10:17] + a[5:20] + b[17:24] + prose(44, 60).split())),
+        (5, prose(45, 50)), (6, None), (None, long[2][1]), (None, " ".join(filler * 4 + a[:12])), (None, " ".join(filler * 4 + a[:12])),
+    ]
+    bench = spark.createDataFrame(long, "item_id long, text string")
+    df = table(spark, docs)
+    groups = list(decontamination.automata(bench, max_words=20))
+    homes = [next(k for k, g in enumerate(groups) if w[0].encode() in g.vocabulary) for w in (a, b)]
+    assert len(groups) > 1 and homes[0] != homes[1]
+    single, several = (sorted(map(str, decontamination.decontaminate(df, bench, max_words=m).collect())) for m in (100_000, 20))
+    assert several == single and len(single) == 6
+
+
 # -- tokens
 
 
