@@ -8,7 +8,8 @@ all twelve tables about once in 200,000.
 Candidates are verified on whole texts: shared labels inside a diagonal band are chained in increasing order in both
 texts, and the pair is linked if chain / (shingles of both - chain) is at least 0.8.
 
-Exact copies (equal word sequences) are one node from the start, chosen with partial aggregation. A bucket first links
+Exact copies (equal word sequences) are one node from the start, chosen with partial aggregation. Nodes are texts and have
+numbers of their own; ids come in only at the end, when an id of several texts links their classes. A bucket first links
 its members to one of them, never all pairs: the hub is the member that meets most others over all tables, which in a
 family of copies is one near their common origin. What is left are buckets whose other members belong to several
 classes. Each is read in blocks of bounded bytes, every two blocks of a large bucket together; a block counts the shared
@@ -117,7 +118,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(columns, row):
                 column.append(value)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["rid", "n", "e1", "e2", "keys"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rid"), batch.column("text_h"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["rid", "text_h", "n", "e1", "e2", "keys"]
+        )
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raws = batch.column("text").cast(pa.binary()).to_pylist()
         seqs = [(labels(word_split(raw or b""), cache) >> _U(32)).astype(np.uint32).tobytes() for raw in raws]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(seqs, pa.binary())], names=["node", "seq"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
 
 def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -268,12 +271,12 @@ def row_id() -> Column:
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """rid, class of every distinct rid of the documents: the class is its smallest rid."""
-    rows = pick(docs, "doc_id", "text").select(row_id().alias("rid"), "text")
-    marked = materialize(rows.mapInArrow(_sketches, "rid long, n int, e1 long, e2 long, keys array<long>"), "sketches")
-    nodes = materialize(
-        marked.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("rid", "n", "keys")).alias("x")).select("e1", "e2", "x.*").withColumnRenamed("rid", "node"),
-        "nodes",
-    )
+    # Seeded apart from the hash in `row_id`, so that both together tell the texts of null ids.
+    rows = pick(docs, "doc_id", "text").select(row_id().alias("rid"), F.xxhash64(F.lit(1), "text").alias("text_h"), "text")
+    marked = materialize(rows.mapInArrow(_sketches, "rid long, text_h long, n int, e1 long, e2 long, keys array<long>"), "sketches")
+    # Each text is a node with a number of its own, as an id may have several texts; rid and text_h find one row of the text.
+    texts = marked.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("rid", "text_h", "n", "keys")).alias("x"))
+    nodes = materialize(texts.select("e1", "e2", "x.*", F.monotonically_increasing_id().alias("node")), "nodes")
     bands = nodes.select("node", "n", F.posexplode("keys").alias("t", "key"))
     sizes = materialize(bands.groupBy("t", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
     met = materialize(bands.join(sizes, ["t", "key"]), "met")
@@ -282,9 +285,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # The most met member of each bucket.
     hubs = materialize(ranked.groupBy("t", "key").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("x")).select("t", "key", (-F.col("x.m")).alias("hub")), "hubs")
     members = materialize(ranked.join(hubs, ["t", "key"]).where("node <> hub").select("t", "key", "node", "n", "hub"), "members")
-    wanted = members.select("node").union(hubs.select("hub")).distinct().withColumnRenamed("node", "rid")
-    # The ids grow with the input, so they are not to be broadcast while they happen to be few: the plan is one at any size.
-    sequences = materialize(rows.join(wanted.hint("merge"), "rid", "left_semi").mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
+    wanted = members.select("node").union(hubs.select("hub")).distinct()
+    # The nodes grow with the input, so they are not to be broadcast while they happen to be few: the plan is one at any size.
+    wanted = nodes.select("rid", "text_h", "node").join(wanted.hint("merge"), "node", "left_semi")
+    # Rows that repeat both id and text have equal sequences.
+    of_text = rows.join(wanted.hint("merge"), ["rid", "text_h"]).select("node", "text")
+    sequences = materialize(of_text.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
 
     pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     seq_a, seq_b = (sequences.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
@@ -310,10 +316,18 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         dealt.repartition(count, "block").sortWithinPartitions("block", "node").select("block", "node", "class", "seq").mapInArrow(_blocks(least), "a long, b long").distinct(), "links"
     )
     known = merged(known, more)
-    exact = marked.join(nodes.select("e1", "e2", "node"), ["e1", "e2"]).where("rid <> node").select(F.col("node").alias("a"), F.col("rid").alias("b")).distinct()
-    # Copies join through their node; ids that several texts share link the classes of these texts.
-    known = merged(known, exact)
-    return marked.select("rid").distinct().join(known.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"))
+    named = marked.join(nodes.select("e1", "e2", "node"), ["e1", "e2"]).select("rid", "node").distinct()
+    held = materialize(named.join(known, "node", "left").select("rid", F.coalesce("class", "node").alias("class")).distinct(), "held")
+    # An id of texts in several classes links these.
+    several = held.groupBy("rid").agg(F.min("class").alias("a"), F.max("class").alias("high")).where("a <> high").select("rid", "a")
+    links = materialize(held.join(several, "rid").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "links")
+    if not _empty(links):
+        to = classes_of(links).select(F.col("node").alias("class"), F.col("class").alias("to"))
+        held = materialize(held.join(to, "class", "left").select("rid", F.coalesce("to", "class").alias("class")).distinct(), "held")
+    # Classes of one id need no name from others.
+    names = materialize(held.groupBy("class").agg(F.min("rid").alias("name"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("class", "name"), "names")
+    found = held.join(names, "class", "left").select("rid", F.coalesce("name", "rid").alias("class"))
+    return marked.select("rid").distinct().join(found, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"))
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:

@@ -171,6 +171,16 @@ def test_near_duplicate_families(spark):
     assert sorted(map(str, map(sorted, groups.values()))) == plain_classes(docs)
 
 
+def test_an_id_of_many_texts_links_the_near_copies_of_each(spark):
+    docs = []
+    for k in range(8):
+        base = prose(400 + k, 100)
+        docs += [(7, base), (100 + k, base.replace(base.split()[50], "edited", 1))]
+    docs += [(3, prose(410, 100)), (7, None), (5, "")]
+    got = {r.rid: r["class"] for r in near_dedup.near_classes(table(spark, docs)).collect()}
+    assert got == {7: 7, 3: 3, 5: 5, **{100 + k: 7 for k in range(8)}}
+
+
 def test_alignment_respects_order():
     cache = near_dedup._Words()
     a = near_dedup.labels(word_split(prose(9, 100).encode()), cache)
