@@ -270,7 +270,7 @@ def row_id() -> Column:
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """rid, class of every distinct rid of the documents: the class is its smallest rid."""
+    """rid, class, rows of every distinct rid of the documents: the class is its smallest rid, rows counts the rid's rows."""
     # Seeded apart from the hash in `row_id`, so that both together tell the texts of null ids.
     rows = pick(docs, "doc_id", "text").select(row_id().alias("rid"), F.xxhash64(F.lit(1), "text").alias("text_h"), "text")
     marked = materialize(rows.mapInArrow(_sketches, "rid long, text_h long, n int, e1 long, e2 long, keys array<long>"), "sketches")
@@ -327,7 +327,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Classes of one id need no name from others.
     names = materialize(held.groupBy("class").agg(F.min("rid").alias("name"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("class", "name"), "names")
     found = held.join(names, "class", "left").select("rid", F.coalesce("name", "rid").alias("class"))
-    return marked.select("rid").distinct().join(found, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"))
+    counted = marked.groupBy("rid").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.join(found, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"), "rows")
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -343,9 +344,25 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents that stand for their class, all columns as they were; the smallest doc_id stays."""
-    gone = near_classes(docs, least).where("rid <> class").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", row_id()).join(gone, "_rid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each class, all columns as they were: the row of the smallest rid (see `row_id`).
+
+    Where several rows have that rid (repeated rows, an id of several texts, copies with null ids), the one of least text
+    stays, and among equal texts the one whose other columns have the least hash. Null ids with equal texts are one
+    document, even where the text is null or has no words.
+    """
+    found = materialize(near_classes(docs, least), "found")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("_rid", row_id())
+    repeated = found.where("rid = class AND rows > 1").select(F.col("rid").alias("_rid"))
+    if _empty(repeated):
+        return rows.join(found.where("rid <> class").select(F.col("rid").alias("_rid")), "_rid", "left_anti").select(*columns)
+    single = rows.join(found.where("rid <> class OR rows > 1").select(F.col("rid").alias("_rid")), "_rid", "left_anti").select(*columns)
+    # Maps have no hash; rows that differ in nothing else are taken as equal.
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    key = F.struct("text", F.xxhash64(*others))
+    # Combined before the shuffle, so that an id of many rows sends one from each task.
+    least_rows = rows.join(repeated, "_rid", "left_semi").groupBy("_rid").agg(F.min_by(F.struct(*columns), key).alias("_row"))
+    return single.unionByName(least_rows.select(*(F.col(f"_row.`{c}`") for c in docs.columns)))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,19 @@ def test_an_id_of_many_texts_links_the_near_copies_of_each(spark):
     assert got == {7: 7, 3: 3, 5: 5, **{100 + k: 7 for k in range(8)}}
 
 
+def test_one_row_of_a_class_stays(spark):
+    base, other = prose(420, 80), prose(421, 80)
+    docs = [(None, base)] * 3 + [(4, other)] * 3 + [(9, other)] * 2 + [(6, prose(422, 80)), (6, prose(423, 80)), (8, ""), (11, "")] + [(None, None)] * 2
+    rows_ = rows(docs)
+    rows_.append((4, other, "de", *rows_[0][3:]))
+    df = spark.createDataFrame(rows_, SCHEMA)
+    kept = [near_dedup.keep_one(df.repartition(n)) for n in (1, 3)]
+    got = [sorted(map(str, k.collect())) for k in kept]
+    assert kept[0].schema == df.schema and got[0] == got[1]
+    stay = sorted((r.doc_id or 0, r.text or "") for r in kept[0].collect())
+    assert stay == sorted([(0, base), (0, ""), (4, other), (6, min(prose(422, 80), prose(423, 80))), (8, ""), (11, "")])
+
+
 def test_alignment_respects_order():
     cache = near_dedup._Words()
     a = near_dedup.labels(word_split(prose(9, 100).encode()), cache)
