@@ -5,6 +5,10 @@ and simple selectors of style sheets) drop what a reader does not see; everythin
 outside of preformatted text, blocks stand on lines of their own, paragraphs and headings are set off by an empty line,
 list items carry their mark and indent, and table cells are padded to columns.
 
+Style sheets are taken as a plain screen of `SCREEN` pixels takes them: rules for print, narrow screens or conditions that
+are not understood do not apply, and of the rules for an element the cascade decides (`!important`, kind of selector, order).
+Selectors of several parts, with attributes or with states are not followed, nor are sheets outside of the page.
+
 Defined cases: null html gives null, empty html the empty text; unclosed and stray tags never fail; an unclosed comment or
 raw element runs to the end; beyond `DEPTH` open elements, further ones stay on the same level; extra columns are ignored.
 """
@@ -24,9 +28,16 @@ DEPTH = 150
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHEET = re.compile(r"<style((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</style|\Z)", re.S | re.I)
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_MARK = re.compile(r"[{};]|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?", re.S)
+_SHOWING = re.compile(r"(display|visibility)\s*:\s*([^!]+?)\s*(!\s*important)?")
 _SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+#: Width and height of the screen that media conditions are held against.
+SCREEN = {"width": 1280, "height": 800}
+_SCREEN_IS = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine"}
+_EXTENT = re.compile(r"\(\s*(?:(min|max)-)?(width|height)\s*(:|<=|>=|<|>)\s*([\d.]+)(px|em|rem)?\s*\)")
+_KEYWORD = re.compile(r"\(\s*([a-z-]+)\s*:\s*([a-z-]+)\s*\)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Element kinds of HTML: fixed values of the standard.
@@ -114,28 +125,124 @@ def build(markup: str) -> Node:
     return root
 
 
+def _condition(part: str) -> bool | None:
+    """Whether a media condition holds on the screen; None: not understood."""
+    if part in ("all", "screen", "print", "speech"):
+        return part in ("all", "screen")
+    if found := _EXTENT.fullmatch(part):
+        bound, side, sign, number, unit = found.groups()
+        try:
+            size = float(number) * (16 if unit in ("em", "rem") else 1)
+        except ValueError:
+            return None
+        sign = {"min": ">=", "max": "<="}.get(bound, sign)
+        have = SCREEN[side]
+        return {">=": have >= size, "<=": have <= size, ">": have > size, "<": have < size, ":": have == size}[sign]
+    if (found := _KEYWORD.fullmatch(part)) and found[1] in _SCREEN_IS:
+        return _SCREEN_IS[found[1]] == found[2]
+    return None
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries applies; one with a condition that is not understood does not."""
+    if not media.strip():
+        return True
+    for query in media.lower().split(","):
+        negated, query = re.fullmatch(r"\s*(?:(not)\b|only\b)?(.*)", query, re.S).groups()
+        held = [_condition(part.strip()) for part in re.split(r"\band\b", query)]
+        if None not in held and all(held) != bool(negated):
+            return True
+    return False
+
+
+def _applies(at_rule: str) -> bool:
+    name, rest = re.fullmatch(r"(@[\w-]*)(.*)", at_rule.lower(), re.S).groups()
+    if name == "@media":
+        return on_screen(rest)
+    return name == "@layer" or name == "@supports" and not rest.strip().startswith("not")
+
+
+def declarations(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and text of each declaration that applies on the screen, in order."""
+    sheet = _CSS_COMMENT.sub(" ", sheet)
+    # Selectors of the open blocks: the empty text for at-rules outside of rules, None where nothing inside applies.
+    open_: list[str | None] = [""]
+    start = 0
+    for found in _CSS_MARK.finditer(sheet):
+        mark = found.group()
+        if mark not in "{};":
+            continue
+        text = " ".join(sheet[start : found.start()].split())
+        start = found.end()
+        if mark != "{":
+            if open_[-1]:
+                yield open_[-1], text
+            if mark == "}" and len(open_) > 1:
+                open_.pop()
+        elif open_[-1] is None:
+            open_.append(None)
+        elif text.startswith("@"):
+            open_.append(open_[-1] if _applies(text) else None)
+        else:
+            # A rule inside a rule has a selector of several parts.
+            open_.append(None if open_[-1] else text or None)
+    if open_[-1]:
+        yield open_[-1], " ".join(sheet[start:].split())
+
+
+def _shown(declaration: str) -> tuple[str, bool, bool] | None:
+    """Property, whether it is important, and whether it hides, of a declaration of display or visibility."""
+    found = _SHOWING.fullmatch(declaration.strip().lower())
+    return found and (found[1], bool(found[3]), found[2] in ("none", "hidden", "collapse"))
+
+
 class Styles:
     """Which elements a document's own style sheets hide; selectors of one simple part only."""
 
     def __init__(self, markup: str):
-        self.hidden: set[str] = set()
-        for sheet in re.findall(r"<style[^>]*>(.*?)</style", markup, re.S | re.I):
-            for selectors, body in _RULE.findall(sheet):
-                if _NOT_SHOWN.search(body.lower()):
-                    self.hidden |= {s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip())}
+        #: By selector and property the rule that decides: whether it is important, kind of selector, order, whether it hides.
+        self.rules: dict[str, dict[str, tuple[bool, int, int, bool]]] = {}
+        order = 0
+        for attributes, sheet in _SHEET.findall(markup):
+            media = [v.strip("\"'") for n, v in _ATTRIBUTE.findall(attributes) if n.lower() == "media"]
+            if media and not on_screen(media[0]):
+                continue
+            for selectors, declaration in declarations(sheet):
+                if shown := _shown(declaration):
+                    order += 1
+                    for selector in selectors.split(","):
+                        self._add(selector.strip(), order, *shown)
+
+    def _add(self, selector: str, order: int, name: str, important: bool, hides: bool) -> None:
+        if not _SIMPLE.fullmatch(selector):
+            return
+        kind = {"#": 2, ".": 1}.get(selector[0], 0)
+        held = self.rules.setdefault(selector if kind else selector.lower(), {})
+        held[name] = max(held.get(name, (False, 0, 0, False)), (important, kind, order, hides))
 
     def hides(self, node: Node) -> bool:
-        if node.tag in _NEVER or node.tag in self.hidden:
+        if node.tag in _NEVER:
             return True
-        if not node.attributes.strip():
-            return False
-        for name, value in _ATTRIBUTE.findall(node.attributes):
+        named, inline = [node.tag], ""
+        for name, value in _ATTRIBUTE.findall(node.attributes) if node.attributes.strip() else ():
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "style" and _NOT_SHOWN.search(value.lower()) or name == "type" and node.tag == "input":
-                return True
-            if self.hidden and (name == "class" and any(f".{c}" in self.hidden for c in value.split()) or name == "id" and f"#{value}" in self.hidden):
+            if name == "hidden" or name == "type" and node.tag == "input":
                 return True
-        return False
+            if name == "style":
+                inline = value
+            elif name == "class":
+                named += [f".{c}" for c in value.split()]
+            elif name == "id":
+                named.append(f"#{value}")
+        last: dict[str, tuple[bool, int, int, bool]] = {}
+        for selector in named if self.rules else ():
+            for name, rule in self.rules.get(selector, {}).items():
+                last[name] = max(last.get(name, rule), rule)
+        for order, declaration in enumerate(_CSS_COMMENT.sub(" ", inline).split(";")) if inline else ():
+            if shown := _shown(declaration):
+                rule = (shown[1], 3, order, shown[2])
+                last[shown[0]] = max(last.get(shown[0], rule), rule)
+        return any(hides for *_, hides in last.values())
 
 
 class Layout:

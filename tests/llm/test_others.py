@@ -25,6 +25,22 @@ def test_render(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize("css, seen", [
+    ("@media print { nav, .x {display:none} }", True), ("@media (max-width:600px){.x{display:none}}", True),
+    ("@media screen and (min-width: 40em){.x{display:none}}", False), ("@media not print{.x{display:none}}", False),
+    ("@media print{@media all{.x{display:none}}} .y{}", True), ("@media unheard-of{.x{display:none}}", True),
+    ("@import url('a;b'); .x{display:none}", False), ("@supports (display:grid){.x{display:none}}", False), ("@keyframes k{.x{display:none}}", True),
+    (".x{display:none} .x{display:block}", True), (".x{display:block} .x{display:none}", False), (".x{display:none!important} .x{display:block}", False),
+    (".x{display:none} p{display:block}", False), ("p{display:none} .x{display:block}", True), (".x{visibility:hidden;display:block}", False),
+    (".x{display:none} .x{visibility:visible}", False), (".x{display:none} @media print{.x{display:block}}", False), ("/* .x{display:none} */", True),
+    (".x{display:none} @media print{.y{color:red}", False), (".x{content:'}'; display:none", False), ("P{display:none}", False),
+])
+def test_style_sheets_apply_as_on_a_screen(css, seen):
+    assert render(f"<style>{css}</style><p class=x>text</p>rest") == ("text\n\nrest" if seen else "rest")
+    assert render(f"<style media=print>.x{{display:none}}</style><p class=x>text</p>") == "text"
+    assert render("<style>.x{display:none}</style><p class=x style='display:block'>text</p>") == "text"
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 50_000 + "x").strip() == "x"
     assert len(render("<p>word " * 40_000).split()) == 40_000
