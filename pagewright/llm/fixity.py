@@ -63,9 +63,11 @@ def _level(nodes: DataFrame) -> DataFrame:
 def tree(leaf_rows: DataFrame) -> list[DataFrame]:
     """Levels of the trees, leaves first; the last level has one node a file. Each is a small written table.
 
-    Records that repeat an id share a leaf, which hashes their number, extremes and sum, so no leaf collects a list.
+    Records that repeat an id share a leaf, which hashes their number, extremes and the sums of two hashes of other seeds, so no
+    leaf collects a list and equal contents do not cancel. The sums are decimals, which no number of rows overflows.
     """
-    shared = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.min("content"), F.max("content"), F.bit_xor(F.xxhash64("content")).cast("string"))
+    sums = [F.sum(h.cast("decimal(20,0)")).cast("string") for h in (F.xxhash64("content"), F.xxhash64(F.lit(1), "content"))]
+    shared = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.min("content"), F.max("content"), *sums)
     bottom = leaf_rows.groupBy("file", "place").agg(F.sha2(shared.cast("binary"), 256).alias("hash"), F.sum("length").alias("length"))
     levels = [bottom]
     for _ in range(LEVELS):

@@ -120,6 +120,14 @@ def test_only_damaged_branches_are_opened(spark):
         assert [(r.file, r.place) for r in a.exceptAll(b).collect()] == [of]
 
 
+def test_equal_records_of_one_id_do_not_cancel(spark):
+    import hashlib
+
+    a, b, d, c = sorted((f"record {k}" for k in range(4)), key=lambda r: hashlib.sha256(r.encode()).hexdigest())
+    sides = [spark.createDataFrame([(5, r) for r in side], "page_id long, record string") for side in ([a, b, b, c], [a, d, d, c])]
+    assert [r.kind for r in fixity.audit(*sides).collect()] == ["damaged"] * 2
+
+
 def test_warc_records(spark):
     row = spark.createDataFrame([(1, "http://e", "é"), (None, None, None)], "p long, u string, h string").select(fixity.warc_record(F.col("p"), F.col("u"), F.col("h")).alias("r")).collect()
     assert "Content-Length: 2\r\n\r\né\r\n\r\n" in row[0].r and row[1].r.startswith("WARC/1.0\r\n")
