@@ -1,6 +1,8 @@
 """Rendering, search and fixity on small tables."""
 
+import collections
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -111,23 +113,70 @@ def test_fixity(spark):
     assert len(audit(spark, held[:20], [])) == 20 and audit(spark, [], []) == {}
 
 
-def test_only_damaged_branches_are_opened(spark):
-    held = records(spark, [(k, f"record {k}") for k in range(3000)])
-    replica = records(spark, [(k, f"record {k}" if k != 1234 else "broken") for k in range(3000)])
-    ours, theirs = (fixity.tree(fixity.leaves(r)) for r in (held, replica))
-    for level, of in ((3, (1, 0)), (2, (1, 2)), (1, (1, 23)), (0, (1, 234))):
-        a, b = (side[level].select("file", "place", "hash") for side in (ours, theirs))
-        assert [(r.file, r.place) for r in a.exceptAll(b).collect()] == [of]
+def stored(spark, rows):
+    side = fixity.leaves(records(spark, rows)).withColumn("replica", F.lit(False))
+    return {r["file"]: r for r in fixity.trees(fixity.placed(side, fixity.crowded(side))).collect()}
+
+
+def test_only_damaged_branches_differ(spark):
+    held = [(k, f"record {k}") for k in range(3000)]
+    ours, theirs = stored(spark, held), stored(spark, [(k, r if k != 1234 else "a longer broken one") for k, r in held])
+    assert [f for f in ours if ours[f]["hash"] != theirs[f]["hash"]] == [1]
+    a, b = ours[1], theirs[1]
+    for place in (2, 23):
+        kids = [(x, y) for x, y in zip(a["kids"], b["kids"]) if x["hash"] != y["hash"]]
+        assert [(x["at"], y["at"]) for x, y in kids] == [(place, place)]
+        a, b = kids[0]
+    moved = [x["at"]["page_id"] for x, y in zip(a["kids"], b["kids"]) if x != y]
+    assert moved == [1234, 1235, 1236, 1237, 1238, 1239]
+
+
+def plain_audit(held, replica):
+    """kind, id, content and copies by comparing multisets; ids of more copies than share a file are not paired."""
+    left = collections.Counter(held), collections.Counter(replica)
+    lost, found = left[0] - left[1], left[1] - left[0]
+    out = collections.Counter()
+    for i in {i for i, _ in [*lost, *found]}:
+        n, m = (sum(k for (j, _), k in side.items() if j == i) for side in (lost, found))
+        out[i] = n, m
+    return out
 
 
-def test_equal_records_of_one_id_do_not_cancel(spark):
+def test_many_records_of_one_id(spark):
     import hashlib
 
     a, b, d, c = sorted((f"record {k}" for k in range(4)), key=lambda r: hashlib.sha256(r.encode()).hexdigest())
-    sides = [spark.createDataFrame([(5, r) for r in side], "page_id long, record string") for side in ([a, b, b, c], [a, d, d, c])]
-    assert [r.kind for r in fixity.audit(*sides).collect()] == ["damaged"] * 2
+    for one, other in (([a, b, b, c], [a, d, d, c]), ([a, b], [b, d]), ([a, a, a], [a]), ([], [a, b])):
+        sides = [[(5, r) for r in side] for side in (one, other)]
+        got = fixity.audit(*(records(spark, s) for s in sides)).collect()
+        lost, found = plain_audit(*sides).get(5, (0, 0))
+        kinds = collections.Counter(r.kind for r in got)
+        assert kinds == collections.Counter({k: n for k, n in (("damaged", min(lost, found)), ("missing", max(0, lost - found)), ("extra", max(0, found - lost))) if n})
+        assert all(r.copies == 1 and r["file"] == 0 for r in got)
+
+
+def test_crowded_ids_have_files_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "RECORDS_A_FILE", 100)
+    monkeypatch.setattr(fixity, "FANOUT", 5)
+    rng = random.Random(2)
+    held = [(None, f"n{rng.randrange(400)}") for _ in range(900)] + [(7, "same")] * 300 + [(k, f"r{k}") for k in range(50)]
+    assert audit(spark, held, held[::-1]) == {}
+    replica = [*held[3:], (None, "new"), (7, "same"), (7, "other")]
+    replica.remove((None, held[400][1]))
+    lost, found = plain_audit(held, replica)[None]
+    got = fixity.audit(records(spark, held), records(spark, replica)).collect()
+    sums = collections.Counter()
+    for r in got:
+        assert r["file"] is None and (r.held_sha256 is None) == (r.kind == "extra") and (r.replica_sha256 is None) == (r.kind == "missing")
+        sums[r.page_id, r.kind] += r.copies
+    assert sums[None, "damaged"] + sums[None, "missing"] == lost and sums[None, "damaged"] + sums[None, "extra"] == found
+    assert sums[7, "extra"] == 2 and set(sums) <= {(None, "damaged"), (None, "missing"), (None, "extra"), (7, "extra")}
 
 
 def test_warc_records(spark):
     row = spark.createDataFrame([(1, "http://e", "é"), (None, None, None)], "p long, u string, h string").select(fixity.warc_record(F.col("p"), F.col("u"), F.col("h")).alias("r")).collect()
-    assert "Content-Length: 2\r\n\r\né\r\n\r\n" in row[0].r and row[1].r.startswith("WARC/1.0\r\n")
+    assert "Content-Length: 2\r\n\r\né\r\n\r\n" in row[0].r
+    for r in row:
+        head = dict(line.split(": ", 1) for line in r.r.split("\r\n\r\n")[0].split("\r\n")[1:])
+        assert r.r.startswith("WARC/1.0\r\n") and set(head) >= {"WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Length"}
+        assert uuid.UUID(head["WARC-Record-ID"][1:-1].removeprefix("urn:uuid:")).version == 3
