@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import uuid
 
 import numpy as np
@@ -43,6 +44,83 @@ def test_style_sheets_apply_as_on_a_screen(css, seen):
     assert render("<style>.x{display:none}</style><p class=x style='display:block'>text</p>") == "text"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div>" * 400 + "<p hidden>SECRET</p>seen", "seen"), ("<div hidden/>SECRET</div>seen", "seen"), ("<a href=x/>in</a> out", "in out"),
+    ("<div class=a/b/>in</div>out", "in\nout"), ('a<a "b', "a"), ("a<p title='b>c", "a"), ("a<p title='>'>b", "a\n\nb"), ("a<b x=1 x=2/ y = '3'>c</b>", "ac"),
+    ("<textarea>a &amp; b</textarea>", "a & b"), ("<title>t &amp; u</title>v", "v"), ("x<!-->y<!-- z --->w", "xyw"), ("a</>b</ c>d<?e>f<!g>h", "abdfh"), ("<plaintext>a<b>", "a<b>"),
+    ("<table><tr><td colspan=2>wide one<td>c<tr><td>a<td>b<td>c</table>", "wide one  c\na  b      c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><tr><td colspan=900000000>a<tr><td>b<td>c</table>", "a\nb  c"),
+    ("<table><tr><td>x<td><ul><li>a<li>b</ul><td>y</table>", "x  - a  y\n   - b"), ("<table><tr><td>o<td><table><tr><td>i<td>j<tr><td>kk<td>l</table></table>", "o  i   j\n   kk  l"),
+    ("<ul><li><ol><li>a<li>b</ol></ul>", "- 1. a\n  2. b"), ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"), ("<li>a<ul><li><table><tr><td><li>b</table></ul>", "a\n\n- b"),
+    ("<b><p>one</b> two</p>three", "one two\n\nthree"), ("<noscript><div></noscript>seen", "seen"), ("<template><table><td></template>seen", "seen"), ("<button><div>x</button>y", "x\ny"), ("<svg><g/><text>s</svg>t", "t"),
+    ("<details><summary>S</summary>closed</details><details open><summary>T</summary>o</details>", "S\nT\no"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"), ("<input value=v><input type=hidden value=h><input type=password value=p>", "v"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"), ("<pre>\na\r\n b</pre>", "a\n b"), ("<p hidden style='display:block'>a</p>b", "a\n\nb"),
+])
+def test_render_as_a_browser_shows(html, text):
+    assert render(html) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a b='", "<style \"", "<!--", "</", "<p", "<b><p></b>", "<div><button><p>", "<li><ul>", "<blockquote>a", "<ul><li>a", "<table><tr><td>", "<table><td colspan=1000 rowspan=65534>", "<tr><td rowspan=3>a", "<span></p>", "&amp", "<td style='display:none'>", "<svg>"])
+def test_time_grows_with_the_page(part):
+    markup = "<table>" * part.startswith("<tr") + part * (400_000 // len(part))
+    began = time.process_time()
+    render(markup)
+    assert time.process_time() - began < 8
+
+
+def plain_page(rng, depth=0):
+    """A random well-formed part of a page and, by its own account, the lines a reader sees: (gap before and after, lines)."""
+    word = lambda: " ".join("w%d" % rng.randrange(99) for _ in range(rng.randrange(1, 4)))
+    kind = rng.choice(["p", "div", "hidden", "ul", "table", "pre", "quote"]) if depth < 3 else rng.choice(["p", "div", "pre"])
+    if kind in ("p", "pre"):
+        text = word()
+        return f"<{kind}>{'<b>' + text + '</b>' if rng.random() < 0.3 else text}</{kind}>", [(2, [text])]
+    if kind == "hidden":
+        return f"<{rng.choice(['div hidden', 'p style=display:none', 'div class=off'])}>{word()}</{'div'}>".replace("<p style=display:none>", "<div style=display:none>"), []
+    if kind == "table":
+        cells = [[word() if rng.random() < 0.8 else "" for _ in range(3)] for _ in range(rng.randrange(1, 4))]
+        widths = [max(len(r[k]) for r in cells) for k in range(3)]
+        lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in cells if any(r)]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>", [(2, lines)] if lines else [(2, [])]
+    inner = [plain_page(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+    if kind == "ul":
+        items = [(word(), plain_page(rng, 9) if rng.random() < 0.3 else ("", [])) for _ in range(rng.randrange(1, 4))]
+        out = []
+        for text, (_, more) in items:
+            out.append("- " + text)
+            for _, lines in more:
+                out += ["", *("  " + x for x in lines)] if lines and _ == 2 else ["  " + x for x in lines]
+        # What follows an item's paragraph keeps its distance.
+        return None, (items, out)
+    html = "".join(h for h, _ in inner if h is not None)
+    blocks = [b for h, bs in inner if h is not None for b in bs]
+    if kind == "quote":
+        return f"<blockquote>{html}</blockquote>", [(2, [])] + [(g, ["  " + x for x in lines]) for g, lines in blocks] + [(2, [])]
+    return f"<div>{html}</div>", [(1, [])] + blocks + [(1, [])]
+
+
+def laid(blocks):
+    lines, due = [], 0
+    for gap, part in blocks:
+        due = max(due, gap)
+        for k, line in enumerate(part):
+            if lines and (due > 1 if k == 0 else False):
+                lines.append("")
+            lines.append(line)
+        if part:
+            due = gap
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    rng = random.Random(seed)
+    parts = [p for p in (plain_page(rng) for _ in range(6)) if p[0] is not None]
+    got = render("<style>.off{display:none}</style>" + "".join(h for h, _ in parts))
+    assert got == laid([b for _, bs in parts for b in bs])
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 50_000 + "x").strip() == "x"
     assert len(render("<p>word " * 40_000).split()) == 40_000
