@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup
-from pagewright.llm.common import materialize, read
+from pagewright.llm.common import fresh, materialize, read
 
 #: A document whose best language is less likely than this is in no language known.
 LEAST_CHANCE = 0.5
@@ -20,8 +20,9 @@ LEAST_CHANCE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language the model knows; those without letters or without a likely language go."""
-    found = language_id.identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"), language_id.learn(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CHANCE)).select("doc.*")
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = language_id.identify(docs, language_id.learn(docs), (lang, score))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_CHANCE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +48,46 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage is cut and lost executors lose nothing."""
+#: Paths of the tables written inside each open `scratch`, innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables written inside when it ends, but for those that were written with `keep`."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: lineage is cut and lost executors lose nothing.
+
+    With `keep` the table outlives the innermost `scratch`, for results that are read later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    if held := _scratch[: len(_scratch) - keep]:
+        held[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column's name, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

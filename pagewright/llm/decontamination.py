@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, pick, read, word_split
+from pagewright.llm.common import fresh, materialize, pick, read, word_split
 
 WINDOW = 10
 MAX_ITEM_WORDS = 100_000
@@ -273,13 +273,14 @@ def _cleaner(shared, max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _cutter(names: list[str], max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One round of `_cleaner` on rows that carry their united hits."""
+def _cutter(max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One round of `_cleaner` on rows that carry the number of their words and their united hits in the last two columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            *names, n_words, hit = batch.schema.names
             texts = []
-            for raw, n, bits in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_hit").to_pylist()):
+            for raw, n, bits in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(n_words).to_pylist(), batch.column(hit).to_pylist()):
                 texts.append(_judged(raw, np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool), max_coverage))
             yield _with_texts(batch, texts, names).filter(pa.array([t is not None for t in texts], pa.bool_()))
 
@@ -289,17 +290,19 @@ def _cutter(names: list[str], max_coverage: float) -> Callable[[Iterator[pa.Reco
 def _decontaminate_by_groups(docs: DataFrame, groups: list, max_coverage: float) -> DataFrame:
     """Rounds over all groups; only the documents that a round cut enter the next."""
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
+    doc, text_h, n_words, hit = fresh(docs.columns, "_doc", "_text_h", "_n_words", "_hit")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     clean, left = [], docs
     while True:
         # A row counts once however many groups hit it and however often it is repeated.
         hits = _united_hits([s.where("hit IS NOT NULL") for s in _scans(left, groups)], copies=False)
-        hits = materialize(hits.select(F.col("doc_id").alias("_doc"), F.col("text_h").alias("_text_h"), F.col("n_words").alias("_n_words"), F.col("hit").alias("_hit")), "hits")
+        hits = materialize(hits.select(F.col("doc_id").alias(doc), F.col("text_h").alias(text_h), F.col("n_words").alias(n_words), F.col("hit").alias(hit)), "hits")
         if not hits.take(1):
             return reduce(DataFrame.unionByName, clean, left)
-        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_text_h"))
+        same = F.col("doc_id").eqNullSafe(F.col(doc)) & (key == F.col(text_h))
         clean.append(left.join(hits, same, "left_anti"))
-        found = left.join(hits, same).select(*(F.col(f"`{c}`") for c in left.columns), "_n_words", "_hit")
-        left = materialize(found.mapInArrow(_cutter(left.columns, max_coverage), left.schema), "cut")
+        found = left.join(hits, same).select(*columns, n_words, hit)
+        left = materialize(found.mapInArrow(_cutter(max_coverage), left.schema), "cut")
 
 
 def decontaminate(

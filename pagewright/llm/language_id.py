@@ -150,25 +150,25 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, smoothing
     return LanguageModel(tuple(languages), np.ascontiguousarray(log_probability.T, np.float32), np.log(total / total.sum()))
 
 
-def _scorer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(shared, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 some = batch.slice(part, 1000)
                 langs, scores = shared.value.score(some.column("text").to_pylist())
-                kept = [(f.name, some.column(f.name)) for f in some.schema if f.name not in ("lang_pred", "score")]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n, _ in kept), "lang_pred", "score"])
+                kept = [f.name for f in some.schema if f.name not in names]
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows with lang_pred and score; columns that already had these names are replaced."""
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows with lang_pred and score, under these or other names; columns that already had the names are replaced."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    return docs.mapInArrow(_scorer(shared), StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    return docs.mapInArrow(_scorer(shared, list(names)), StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def learn(docs: DataFrame) -> LanguageModel:

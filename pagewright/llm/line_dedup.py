@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import pick, read, shuffle_partitions
+from pagewright.llm.common import fresh, pick, read, shuffle_partitions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -184,11 +184,12 @@ def kept_lines(raw: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Documents with the bitmap of each in `_bitmap`, null where nothing is dropped."""
+    """Documents with one more column, the last: the bitmap of each, null where nothing is dropped."""
     doc_id, text_h = _identity()
-    keyed = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_h").alias("_h"), F.col("keep_bitmap").alias("_bitmap"))
-    own = docs.withColumns({"_id": doc_id, "_h": text_h})
-    return own.join(keyed, ["_id", "_h"], "left").select(*(own[f"`{c}`"] for c in docs.columns), "_bitmap")
+    own_id, own_h, bitmap = fresh(docs.columns, "_id", "_h", "_bitmap")
+    keyed = bitmaps.select(F.col("doc_id").alias(own_id), F.col("text_h").alias(own_h), F.col("keep_bitmap").alias(bitmap))
+    own = docs.withColumns({own_id: doc_id, own_h: text_h})
+    return own.join(keyed, [own_id, own_h], "left").select(*(F.col(f"`{c}`") for c in docs.columns), bitmap)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +204,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        *names, bitmap = batch.schema.names
         raws = batch.column("text").cast(pa.binary()).to_pylist()
-        texts = [None if raw is None else kept_lines(raw, b)[2] for raw, b in zip(raws, batch.column("_bitmap").to_pylist())]
+        texts = [None if raw is None else kept_lines(raw, b)[2] for raw, b in zip(raws, batch.column(bitmap).to_pylist())]
         text = pa.array(texts, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [text if f.name == "text" else batch.column(f.name) for f in batch.schema if f.name != "_bitmap"],
-            names=[f.name for f in batch.schema if f.name != "_bitmap"],
-        )
+        yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
