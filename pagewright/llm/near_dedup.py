@@ -12,17 +12,20 @@ Exact copies (equal word sequences) are one node from the start, chosen with par
 numbers of their own; ids come in only at the end, when an id of several texts links their classes. A bucket first links
 its members to one of them, never all pairs: the hub is the member that meets most others over all tables, which in a
 family of copies is one near their common origin. What is left are buckets whose other members belong to several
-classes. Each is read in blocks of bounded bytes, every two blocks of a large bucket together; a block counts the shared
-labels of its members at once and verifies only pairs whose counts allow the similarity and whose classes are still apart,
-so it returns fewer links than it has members, and no pair that shares a bucket goes unexamined.
+classes. Their members are grouped by two neighbouring bands of length, as longer or shorter texts cannot be similar. Each
+group is read in blocks of bounded bytes, every two blocks of a large group together; a block counts the shared labels of its
+members at once and verifies only pairs whose counts allow the similarity and whose classes are still apart, so it returns
+fewer links than it has members, and no pair that shares a bucket goes unexamined. Work there grows with the square of a
+group's members; it is spread over as many tasks as there are pairs of blocks.
 
 Defined cases: a null text or one without words is alone in its class; fewer than five words make one shingle; rows that
-repeat a doc_id are one document that links the classes of all its texts; a null doc_id is stood for by a negative number
-made of the text's hash; an empty table gives an empty result; extra columns are ignored.
+repeat a doc_id are one document that links the classes of all its texts (`near_classes`; `keep_one` goes by texts); a null
+doc_id is stood for by a negative number made of the text's hash; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, pick, read, shuffle_partitions, word_split
+from pagewright.llm.common import fresh, materialize, pick, read, scratch, shuffle_partitions, word_split
 
 SHINGLE = 5
 TABLES = 12
@@ -104,6 +107,7 @@ def order_keys(marks: np.ndarray) -> list[int]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, its number of labels, 128 bits that name its words, and its keys."""
     cache = _Words()
     for batch in batches:
         columns: list[list] = [[] for _ in range(4)]
@@ -118,9 +122,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(columns, row):
                 column.append(value)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("text_h"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["rid", "text_h", "n", "e1", "e2", "keys"]
-        )
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, "n", "e1", "e2", "keys"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +272,37 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63))))
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """rid, class, rows of every distinct rid of the documents: the class is its smallest rid, rows counts the rid's rows."""
-    # Seeded apart from the hash in `row_id`, so that both together tell the texts of null ids.
-    rows = pick(docs, "doc_id", "text").select(row_id().alias("rid"), F.xxhash64(F.lit(1), "text").alias("text_h"), "text")
-    marked = materialize(rows.mapInArrow(_sketches, "rid long, text_h long, n int, e1 long, e2 long, keys array<long>"), "sketches")
+def _mixed(placed: DataFrame, least: float) -> DataFrame:
+    """t, key, band and parts of the groups that are left to compare: members of two neighbouring bands of sizes, of several classes.
+
+    Similar texts differ by the factor 1 / least in their labels at most, so they lie in one band or in neighbouring ones. Of
+    groups with the same members one is enough.
+    """
+    told = placed.groupBy("t", "key", "band").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("labels"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 24)).alias("y"),
+    )
+    # A bucket has as many rows here as sizes have bands, a hundred at most.
+    bands = told.groupBy("t", "key").agg(F.collect_list(F.struct("band", "low", "high", "members", "labels", "x", "y")).alias("bands"))
+    at = lambda b, step: F.get(F.filter("bands", lambda c: c["band"] == b["band"] + step), F.lit(0))
+    pairs = bands.select("t", "key", F.explode(F.transform("bands", lambda b: F.struct(b.alias("own"), at(b, 1).alias("next"), at(b, -1).alias("before")))).alias("p")).select("t", "key", "p.*")
+    # A band alone is compared with the one before it, if there is one.
+    pairs = pairs.where("next IS NOT NULL OR before IS NULL")
+    both = lambda c: F.col(f"own.{c}") + F.coalesce(f"next.{c}", F.lit(0))
+    groups = pairs.select(
+        "t", "key", "own.band", F.least("own.low", "next.low").alias("low"), F.greatest("own.high", "next.high").alias("high"), both("members").alias("members"), both("labels").alias("labels"),
+        F.col("own.x").bitwiseXOR(F.coalesce("next.x", F.lit(0))).alias("x"), both("y").alias("y"),
+    )
+    one = groups.where("low <> high").groupBy("members", "x", "y").agg(F.min(F.struct("t", "key", "band", "labels")).alias("b")).select("b.*", "members")
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("labels") * 4 / BLOCK_BYTES)).cast("int")
+    return one.select("t", "key", "band", parts.alias("parts"))
+
+
+def near_texts(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows (rid, text_h, text and others; rid and text_h find a text) with, instead of the text, the class of near copies
+    it is in, as a number; null where it has no words."""
+    others = [f for f in rows.schema if f.name != "text"]
+    marked = materialize(rows.mapInArrow(_sketches, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", n int, e1 long, e2 long, keys array<long>"), "sketches")
     # Each text is a node with a number of its own, as an id may have several texts; rid and text_h find one row of the text.
     texts = marked.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("rid", "text_h", "n", "keys")).alias("x"))
     nodes = materialize(texts.select("e1", "e2", "x.*", F.monotonically_increasing_id().alias("node")), "nodes")
@@ -289,7 +318,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # The nodes grow with the input, so they are not to be broadcast while they happen to be few: the plan is one at any size.
     wanted = nodes.select("rid", "text_h", "node").join(wanted.hint("merge"), "node", "left_semi")
     # Rows that repeat both id and text have equal sequences.
-    of_text = rows.join(wanted.hint("merge"), ["rid", "text_h"]).select("node", "text")
+    of_text = rows.select("rid", "text_h", "text").join(wanted.hint("merge"), ["rid", "text_h"]).select("node", "text")
     sequences = materialize(of_text.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
 
     pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
@@ -297,38 +326,48 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     tested = materialize(pairs.join(seq_a, "a").join(seq_b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_aligned(least), "a long, b long, linked boolean"), "tested")
     known = classes_of(tested.where("linked").select("a", "b"))
 
-    # Pairs without the hub are left in buckets whose other members belong to several classes. Of buckets with the same
-    # members one is enough.
-    placed = materialize(members.select("t", "key", "node", "n").join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
-    told = placed.groupBy("t", "key").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("labels"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 24)).alias("y"),
-    )
-    mixed = told.where("low <> high").groupBy("members", "x", "y").agg(F.min(F.struct("t", "key", "labels")).alias("b")).select("b.*", "members")
-    parts = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("labels") * 4 / BLOCK_BYTES)).cast("int")
-    mixed = materialize(mixed.select("t", "key", parts.alias("parts")), "mixed")
-    within = placed.join(mixed, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("node", "t"), F.col("parts")).cast("int"))
+    # Pairs without the hub are left in buckets whose other members belong to several classes.
+    band = F.floor(F.log("n") / F.lit(1.0001 * math.log(1 / least))).cast("int")
+    placed = materialize(members.select("t", "key", "node", "n", band.alias("band")).join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
+    mixed = materialize(_mixed(placed, least), "mixed")
+    within = placed.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(mixed, ["t", "key", "band"])
+    within = within.withColumn("part", F.pmod(F.xxhash64("node", "t"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    block = F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other"))
+    block = F.xxhash64("t", "key", "band", F.least("part", "other"), F.greatest("part", "other"))
     dealt = within.withColumn("other", other).select(block.alias("block"), "node", "class").join(sequences, "node")
-    count = shuffle_partitions(docs.sparkSession)
+    count = shuffle_partitions(rows.sparkSession)
     more = materialize(
         dealt.repartition(count, "block").sortWithinPartitions("block", "node").select("block", "node", "class", "seq").mapInArrow(_blocks(least), "a long, b long").distinct(), "links"
     )
     known = merged(known, more)
-    named = marked.join(nodes.select("e1", "e2", "node"), ["e1", "e2"]).select("rid", "node").distinct()
-    held = materialize(named.join(known, "node", "left").select("rid", F.coalesce("class", "node").alias("class")).distinct(), "held")
-    # An id of texts in several classes links these.
-    several = held.groupBy("rid").agg(F.min("class").alias("a"), F.max("class").alias("high")).where("a <> high").select("rid", "a")
-    links = materialize(held.join(several, "rid").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "links")
-    if not _empty(links):
-        to = classes_of(links).select(F.col("node").alias("class"), F.col("class").alias("to"))
-        held = materialize(held.join(to, "class", "left").select("rid", F.coalesce("to", "class").alias("class")).distinct(), "held")
-    # Classes of one id need no name from others.
-    names = materialize(held.groupBy("class").agg(F.min("rid").alias("name"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("class", "name"), "names")
-    found = held.join(names, "class", "left").select("rid", F.coalesce("name", "rid").alias("class"))
-    counted = marked.groupBy("rid").agg(F.count(F.lit(1)).alias("rows"))
-    return counted.join(found, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"), "rows")
+    named = nodes.select("e1", "e2", "node").join(known, "node", "left").select("e1", "e2", F.coalesce("class", "node").alias("class"))
+    columns = [f.name for f in others]
+    found = marked.where("n > 0").join(named, ["e1", "e2"]).select(*columns, "class")
+    return materialize(found.unionByName(marked.where("n = 0").select(*columns, F.lit(None).cast("long").alias("class"))), "named")
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """rid, text_h and text of every row."""
+    # Seeded apart from the hash in `row_id`, so that both together tell the texts of null ids.
+    return pick(docs, "doc_id", "text").select(row_id().alias("rid"), F.xxhash64(F.lit(1), "text").alias("text_h"), "text")
+
+
+def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """rid, class, rows of every distinct rid of the documents: the class is its smallest rid, rows counts the rid's rows."""
+    with scratch(docs.sparkSession):
+        named = near_texts(keyed_rows(docs), least)
+        held = materialize(named.where("class IS NOT NULL").select("rid", "class").distinct(), "held")
+        # An id of texts in several classes links these.
+        several = held.groupBy("rid").agg(F.min("class").alias("a"), F.max("class").alias("high")).where("a <> high").select("rid", "a")
+        links = materialize(held.join(several, "rid").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "links")
+        if not _empty(links):
+            to = classes_of(links).select(F.col("node").alias("class"), F.col("class").alias("to"))
+            held = materialize(held.join(to, "class", "left").select("rid", F.coalesce("to", "class").alias("class")).distinct(), "held")
+        # Classes of one id need no name from others.
+        names = held.groupBy("class").agg(F.min("rid").alias("name"), F.count(F.lit(1)).alias("ids")).where("ids > 1").select("class", "name")
+        found = held.join(materialize(names, "names"), "class", "left").select("rid", F.coalesce("name", "rid").alias("class"))
+        counted = named.groupBy("rid").agg(F.count(F.lit(1)).alias("rows"))
+        return materialize(counted.join(found, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"), "rows"), "found", keep=True)
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,25 +383,37 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class, all columns as they were: the row of the smallest rid (see `row_id`).
+    """One row of each class of near copies, all columns as they were: the row of the smallest rid (see `row_id`).
 
-    Where several rows have that rid (repeated rows, an id of several texts, copies with null ids), the one of least text
-    stays, and among equal texts the one whose other columns have the least hash. Null ids with equal texts are one
-    document, even where the text is null or has no words.
+    Classes are of texts: what several rows with one id hold is compared, and stays or goes, text by text. Of several rows of
+    that rid the one of least text hash stays, and among equal texts the one whose other columns have the least hash. Rows
+    without words stay, but for those that repeat both id and text.
     """
-    found = materialize(near_classes(docs, least), "found")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_rid", row_id())
-    repeated = found.where("rid = class AND rows > 1").select(F.col("rid").alias("_rid"))
-    if _empty(repeated):
-        return rows.join(found.where("rid <> class").select(F.col("rid").alias("_rid")), "_rid", "left_anti").select(*columns)
-    single = rows.join(found.where("rid <> class OR rows > 1").select(F.col("rid").alias("_rid")), "_rid", "left_anti").select(*columns)
+    key = fresh(docs.columns, "_rid", "_text_h", "_row_h")
     # Maps have no hash; rows that differ in nothing else are taken as equal.
     others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
-    key = F.struct("text", F.xxhash64(*others))
-    # Combined before the shuffle, so that an id of many rows sends one from each task.
-    least_rows = rows.join(repeated, "_rid", "left_semi").groupBy("_rid").agg(F.min_by(F.struct(*columns), key).alias("_row"))
-    return single.unionByName(least_rows.select(*(F.col(f"_row.`{c}`") for c in docs.columns)))
+    made = [row_id(), F.xxhash64(F.lit(1), "text"), F.xxhash64(*others) if others else F.lit(0).cast("long")]
+    rows = docs.withColumns(dict(zip(key, made)))
+    names = ["rid", "text_h", "row_h"]
+    with scratch(docs.sparkSession):
+        named = near_texts(rows.select(*(F.col(k).alias(n) for k, n in zip(key, names)), "text"), least)
+        keyed = materialize(named.groupBy(*names, "class").agg(F.count(F.lit(1)).alias("rows")), "keyed")
+        # A row without words is in a class with those of its id and text only.
+        alone = [F.when(F.col("class").isNull(), F.col(c)).alias(f"own_{c}") for c in ("rid", "text_h")]
+        best = keyed.groupBy("class", *alone).agg(F.min(F.struct(*names)).alias("best")).select("best.*")
+        best = materialize(best, "best")
+        lost = keyed.join(best, names, "left_anti").select(*names)
+        repeated = materialize(keyed.where("rows > 1").join(best, names, "left_semi").select(*names), "repeated", keep=True)
+        gone = materialize(lost.unionByName(repeated), "gone", keep=True)
+    renamed = lambda df: df.select(*(F.col(n).alias(k) for k, n in zip(key, names)))
+    single = rows.join(renamed(gone), key, "left_anti").select(*columns)
+    if _empty(repeated):
+        return single
+    # Combined before the shuffle, so that a row of many copies sends one from each task.
+    row = fresh(docs.columns, "_row")[0]
+    first = rows.join(renamed(repeated), key, "left_semi").groupBy(*key).agg(F.first(F.struct(*columns)).alias(row))
+    return single.unionByName(first.select(*(F.col(f"{row}.`{c}`") for c in docs.columns)))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

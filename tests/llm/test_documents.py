@@ -191,7 +191,27 @@ def test_one_row_of_a_class_stays(spark):
     got = [sorted(map(str, k.collect())) for k in kept]
     assert kept[0].schema == df.schema and got[0] == got[1]
     stay = sorted((r.doc_id or 0, r.text or "") for r in kept[0].collect())
-    assert stay == sorted([(0, base), (0, ""), (4, other), (6, min(prose(422, 80), prose(423, 80))), (8, ""), (11, "")])
+    assert stay == sorted([(0, base), (0, ""), (4, other), (6, prose(422, 80)), (6, prose(423, 80)), (8, ""), (11, "")])
+
+
+def test_an_id_of_two_texts_does_not_unite_them(spark):
+    one, two = prose(430, 90), prose(431, 90)
+    docs = [(10, one), (11, two), (12, one), (12, two), (5, one.replace(one.split()[40], "edited", 1))]
+    kept = near_dedup.keep_one(table(spark, docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, docs[-1][1]), (11, two)])
+
+
+def test_no_column_clashes_with_the_operators(spark):
+    docs = [(k, f"{prose(440 + k % 3, 60)}\n{COMMON}") for k in range(9)]
+    names = ["_rid", "_id", "_h", "_bitmap", "_row", "_text_h", "_row_h", "_doc", "_hit", "_n_words", "lang_pred", "node", "class", "rid"]
+    df = spark.createDataFrame([(d, t, *(f"{n} {d}" for n in names)) for d, t in docs], ["doc_id", "text", *names])
+    lined = line_dedup.dedup_lines(df)
+    single = near_dedup.keep_one(lined)
+    bench = spark.createDataFrame([(1, " ".join(docs[1][1].split()[:12])), (2, " ".join(f"other{k}" for k in range(40)))], "item_id long, text string")
+    clean = decontamination.decontaminate(single, bench, max_words=20)
+    assert lined.columns == single.columns == clean.columns == df.columns and lined.count() == 9
+    rest = clean.collect()
+    assert len(rest) == 3 and all(r[n] == f"{n} {r.doc_id}" for r in rest for n in names) and all(COMMON not in r.text for r in rest)
 
 
 def test_alignment_respects_order():
