@@ -32,22 +32,25 @@ _TERM = re.compile(r"""[#.][\w-]+|\[\s*([\w:-]+)\s*(?:([~^$*]?=)\s*("[^"]*"|'[^'
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "parent", "children", "place")
+    __slots__ = ("tag", "attributes", "parent", "children", "elements", "place")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
+        #: The children that are elements, and this one's place among those of its parent, from 1.
+        self.elements: list[Element] = []
         self.place = 0
-
-    def elements(self) -> list[Element]:
-        return [c for c in self.children if isinstance(c, Element)]
+        if parent is not None:
+            parent.children.append(self)
+            parent.elements.append(self)
+            self.place = len(parent.elements)
 
     def descendants(self) -> Iterator[Element]:
-        todo = self.elements()[::-1]
+        todo = self.elements[::-1]
         while todo:
             node = todo.pop()
             yield node
-            todo += node.elements()[::-1]
+            todo += node.elements[::-1]
 
 
 class _Builder(HTMLParser):
@@ -55,39 +58,52 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#document", {}, None)
         self.open = [self.root]
+        #: By tag where it is open, so that no search walks the nesting.
+        self.places: dict[str, list[int]] = {}
+        self.lines: list[int] = []
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in _LINES and tag != "p":
+                self.lines.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while len(self.open) > 1 and tag in _ENDED_BY.get(self.open[-1].tag, ()):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         # A paragraph left open around inline elements ends as well.
         if tag in _ENDED_BY["p"]:
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag == "p":
-                    del self.open[k:]
-                elif self.open[k].tag in _LINES:
-                    break
-        parent = self.open[-1]
-        node = Element(tag, {k: v or "" for k, v in attrs}, parent)
-        node.place = len(parent.elements()) + 1
-        parent.children.append(node)
+            bound = self.lines[-1] if self.lines else 0
+            while self.last("p") > bound:
+                self.cut(self.last("p"))
+        node = Element(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         if tag not in _EMPTY:
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in _LINES and tag != "p":
+                self.lines.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        depth = len(self.open)
         self.handle_starttag(tag, attrs)
-        if len(self.open) > depth and self.open[-1].tag == tag:
-            self.open.pop()
+        if self.open[-1].tag == tag and tag not in _EMPTY:
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.last(tag):
+            self.cut(self.last(tag))
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # `<![` begins nothing that pages may hold: a comment that ends at the next `>`.
+        return self.parse_bogus_comment(i)
+
 
 def parse(source: str | None) -> Element:
     builder = _Builder()
@@ -130,7 +146,7 @@ def _is(node: Element, simple: str) -> bool:
         elif text == ":first-child":
             ok = node.place == 1
         elif text == ":last-child":
-            ok = node.parent is not None and node.parent.elements()[-1] is node
+            ok = node.parent is not None and node.parent.elements[-1] is node
         else:
             ok = node.place == int(term[4])
         if not ok:
@@ -138,29 +154,43 @@ def _is(node: Element, simple: str) -> bool:
     return True
 
 
-def _fits(node: Element, steps: list[tuple[str, str]]) -> bool:
-    join, simple = steps[-1]
-    if not _is(node, simple):
-        return False
-    if len(steps) == 1:
-        return True
-    rest, parent = steps[:-1], node.parent
-    if join == " ":
-        while parent is not None and parent.tag != "#document":
-            if _fits(parent, rest):
-                return True
-            parent = parent.parent
-        return False
-    if join == ">":
-        return parent is not None and parent.tag != "#document" and _fits(parent, rest)
-    before = [e for e in parent.elements() if e.place < node.place] if parent is not None else []
-    return any(_fits(e, rest) for e in (before[-1:] if join == "+" else before))
+def _matches(root: Element, steps: list[tuple[str, str]]) -> set[Element]:
+    """The elements that the steps lead to, step by step: each looks at an element once, however many siblings there are."""
+    held: set[Element] = set()
+    for at, (join, simple) in enumerate(steps):
+        found: set[Element] = set()
+        #: By parent how far `~` reaches back: the first place among its children that the step before matched.
+        first: dict[int, int] = {}
+        under: set[Element] = set()
+        if join == "~" and at:
+            for node in held:
+                key = id(node.parent)
+                first[key] = min(first.get(key, node.place), node.place)
+        for node in root.descendants():
+            parent = node.parent
+            if join == " " and at and (parent in held or parent in under):
+                under.add(node)
+                led = True
+            elif not at:
+                led = True
+            elif join == ">":
+                led = parent in held
+            elif join == "+":
+                led = node.place > 1 and parent.elements[node.place - 2] in held
+            elif join == "~":
+                led = first.get(id(parent), node.place) < node.place
+            else:
+                led = False
+            if led and _is(node, simple):
+                found.add(node)
+        held = found
+    return held
 
 
 def select(root: Element, selector: str) -> list[Element]:
     """Matching elements in document order."""
-    options = _compile(selector)
-    return [n for n in root.descendants() if any(_fits(n, o) for o in options)]
+    found = set().union(*(_matches(root, steps) for steps in _compile(selector)))
+    return [n for n in root.descendants() if n in found]
 
 
 def inner_text(node: Element) -> str:
@@ -187,8 +217,11 @@ def inner_text(node: Element) -> str:
 
 
 def base_of(root: Element) -> str | None:
-    found = select(root, "base[href]")
-    return found[0].attributes["href"] if found else None
+    """The address that the page's links count from, as it is written; null where the page names none."""
+    for node in root.descendants():
+        if node.tag == "base" and "href" in node.attributes:
+            return node.attributes["href"]
+    return None
 
 
 def _once(parser):
@@ -196,27 +229,45 @@ def _once(parser):
     return parser.asNondeterministic()
 
 
+def _told(failure: Exception) -> str:
+    return f"{type(failure).__name__}: {failure}"
+
+
 def links_in(html: Column, selector: str) -> Column:
-    """Array of the `href` of each element the selector matches, null where it has none; SVG links count by either name."""
-    options = selector
+    """Struct of the page's `base`, its `hrefs` (the `href` of each element the selector matches, null where it has none; SVG
+    links count by either name) and a `fault` where the page could not be read."""
+    _compile(selector)
 
-    @F.pandas_udf("array<string>")
-    def found(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: [n.attributes.get("href", n.attributes.get("xlink:href")) for n in select(parse(s), options)])
+    @F.pandas_udf("base string, hrefs array<string>, fault string")
+    def found(sources: pd.Series) -> pd.DataFrame:
+        rows = []
+        for source in sources:
+            try:
+                root = parse(source)
+                rows.append((base_of(root), [n.attributes.get("href", n.attributes.get("xlink:href")) for n in select(root, selector)], None))
+            except Exception as failure:  # no page fails the run
+                rows.append((None, None, _told(failure)))
+        return pd.DataFrame(rows, columns=["base", "hrefs", "fault"], dtype=object)
 
     return _once(found)(html)
 
 
 def fields_in(html: Column, **selectors: str) -> Column:
-    """Struct of the text of the first match of each selector; null where nothing matches."""
+    """Struct of the text of the first match of each selector, null where nothing matches, and a `fault` where the page could
+    not be read."""
+    for selector in selectors.values():
+        _compile(selector)
 
-    @F.pandas_udf(", ".join(f"{name} string" for name in selectors))
+    @F.pandas_udf(", ".join(f"{name} string" for name in (*selectors, "fault")))
     def found(sources: pd.Series) -> pd.DataFrame:
         rows = []
         for source in sources:
-            root = parse(source)
-            matches = {name: select(root, s) for name, s in selectors.items()}
-            rows.append({name: inner_text(m[0]) if m else None for name, m in matches.items()})
-        return pd.DataFrame(rows, columns=list(selectors))
+            try:
+                root = parse(source)
+                matches = {name: select(root, s) for name, s in selectors.items()}
+                rows.append({name: inner_text(m[0]) if m else None for name, m in matches.items()})
+            except Exception as failure:  # no page fails the run
+                rows.append({"fault": _told(failure)})
+        return pd.DataFrame([[r.get(c) for c in (*selectors, "fault")] for r in rows], columns=[*selectors, "fault"], dtype=object)
 
     return _once(found)(html)

@@ -12,15 +12,19 @@ MAX_LINKS = 20
 
 
 def raw_links(pages: DataFrame, selector: str, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, base, pos, href of every link the selector matches, in document order; the source is read once by the parser."""
+    """key, base, pos, href of every link the selector matches, in document order; the source is read once by the parser.
+
+    Links count from the page's address, or from what its `<base>` names, counted from the address itself.
+    """
     found = pages.select(key, F.col(url).alias("base"), markup.links_in(F.col(html), selector).alias("_links"))
+    based = found.withColumn("base", F.when(F.col("_links.base").isNull(), F.col("base")).otherwise(urls.resolve(F.col("base"), F.col("_links.base"))))
     # The outer form, as the plain one would test the parsed links in a filter of its own, and so parse each page twice.
-    return found.select(key, "base", F.posexplode_outer("_links").alias("pos", "href")).where("pos IS NOT NULL")
+    return based.select(key, "base", F.posexplode_outer("_links.hrefs").alias("pos", "href")).where("pos IS NOT NULL")
 
 
 def resolved(links: DataFrame) -> DataFrame:
-    """Adds url: the link as followed from its base, in the JVM where it begins with a slash and elsewhere by the resolver."""
-    return links.withColumn("url", F.coalesce(urls.root_relative(F.col("base"), F.col("href")), urls.resolve("base", "href")))
+    """Adds url: the link as followed from its base."""
+    return links.withColumn("url", urls.resolve(F.col("base"), F.col("href")))
 
 
 def account(

@@ -14,19 +14,34 @@ RETRIES = 2
 
 
 def chapters(pages: DataFrame, title: str, content: str, *, url: str = "url", html: str = "html") -> DataFrame:
-    """Adds title and body by their selectors, and error: selector_not_found where either matches nothing."""
+    """Adds title and body by their selectors, error and detail: selector_not_found where either matches nothing, error where
+    the page could not be read."""
     found = pages.withColumn("_f", markup.fields_in(F.col(html), title=title, body=content))
     missing = F.col("_f.title").isNull() | F.col("_f.body").isNull()
-    return found.select(*pages.columns, "_f.title", "_f.body", F.when(missing, "selector_not_found").alias("error"))
+    error = F.when(F.col("_f.fault").isNotNull(), "error").when(missing, "selector_not_found")
+    return found.select(*pages.columns, "_f.title", "_f.body", error.alias("error"), F.coalesce("_f.fault", F.lit("")).alias("detail"))
 
 
-def load(kept: DataFrame, pages: DataFrame, title: str, content: str) -> DataFrame:
-    """Kept links (url, ...) with final_url, title, body and error. Pages are joined before their source is parsed, so only
-    wanted ones are; a link without a page is an error."""
+def stored(kept: DataFrame, pages: DataFrame) -> DataFrame:
+    """Kept links (url, ...) with the final_url, html, attempts, error and detail of stored pages; a link without a page is an
+    error."""
     source = pages.select("url", F.coalesce(F.col("final_url"), F.col("url")).alias("final_url") if "final_url" in pages.columns else F.col("url").alias("final_url"), "html")
     joined = kept.join(source, "url", "left")
-    read = chapters(joined, title, content)
-    return read.withColumn("error", F.when(F.col("html").isNull(), "error").otherwise(F.col("error"))).drop("html")
+    lost = F.col("html").isNull()
+    return joined.withColumns({"attempts": F.lit(1), "error": F.when(lost, "error"), "detail": F.when(lost, "no such page").otherwise("")})
+
+
+def read(loaded: DataFrame, title: str, content: str) -> DataFrame:
+    """Loaded links (html, error, detail, ...) with title and body; the error of loading comes before that of reading. Pages
+    are joined or loaded before their source is parsed, so only wanted ones are."""
+    told = chapters(loaded.withColumnsRenamed({"error": "_error", "detail": "_detail"}), title, content)
+    first = lambda c: F.when(F.col("_error").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
+    return told.withColumns({"error": first("error"), "detail": first("detail")}).drop("html", "_error", "_detail")
+
+
+def load(kept: DataFrame, pages: DataFrame, title: str, content: str) -> DataFrame:
+    """Kept links read from stored pages."""
+    return read(stored(kept, pages), title, content)
 
 
 def outcomes(attempts: DataFrame, *, key: list[str], retries: int = RETRIES) -> DataFrame:
@@ -45,12 +60,12 @@ def outcomes(attempts: DataFrame, *, key: list[str], retries: int = RETRIES) ->
 def records(loaded: DataFrame, *, remove_links: bool = True, strip_ads: bool = True) -> DataFrame:
     """Chapters without error, cleaned, with bytes, sha256, redirected and stripped_urls."""
     good = loaded.where("error IS NULL").withColumn("_c", clean_text(F.col("body"), remove_links=remove_links, strip_ads=strip_ads))
-    plain = good.withColumns({"text": F.col("_c.text"), "stripped_urls": F.col("_c.stripped_urls")}).drop("_c", "body", "error")
+    plain = good.withColumns({"text": F.col("_c.text"), "stripped_urls": F.col("_c.stripped_urls")}).drop("_c", "body", "error", "detail")
     return plain.select("*", *digests(F.col("text")), (F.col("url") != F.col("final_url")).alias("redirected"))
 
 
 def failures(loaded: DataFrame) -> DataFrame:
-    return loaded.where("error IS NOT NULL").select("idx", "url", F.col("error").alias("reason"), *(["attempts"] if "attempts" in loaded.columns else []))
+    return loaded.where("error IS NOT NULL").select("idx", "url", F.col("error").alias("reason"), *(c for c in ("attempts", "detail") if c in loaded.columns))
 
 
 def run_totals(kept: DataFrame, completed: DataFrame, failed: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -1,21 +1,14 @@
-"""Page sources: tables, the live connector as a Python data source, and redirects."""
+"""Stored pages, and redirects as tables."""
 
 from __future__ import annotations
 
-import json
-import time
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from pagewright.functions import urls
 from pagewright.operators import guard
 
 HOPS = 20
-SCHEMA = "url string, final_url string, html string, attempts int, error string, detail string"
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
@@ -23,80 +16,13 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-class LivePages(DataSource):
-    """`spark.read.format("live_pages")`: loads addresses over HTTP, one partition for each host so that pacing holds.
-
-    Options: urls (JSON list), retries, timeout (seconds), min_delay (seconds between requests to a host), agent,
-    max_bytes. A failure becomes a row with error and detail; it never fails the task.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "live_pages"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _LiveReader(dict(self.options))
-
-
-class _HostPages(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
-
-
-class _LiveReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.urls = json.loads(options.get("urls", "[]"))
-        self.retries = int(options.get("retries", 2))
-        self.timeout = float(options.get("timeout", 25))
-        self.delay = float(options.get("min_delay", 1.2))
-        self.agent = options.get("agent", "pagewright")
-        self.max_bytes = int(options.get("max_bytes", 20_000_000))
-
-    def partitions(self) -> list[InputPartition]:
-        from urllib.parse import urlsplit
-
-        hosts: dict[str, list[str]] = {}
-        for url in self.urls:
-            hosts.setdefault((urlsplit(url).hostname or "").lower(), []).append(url)
-        return [_HostPages(u) for u in hosts.values()]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for k, url in enumerate(partition.urls):
-            if k:
-                time.sleep(self.delay)
-            yield self._load(url)
-
-    def _load(self, url: str) -> tuple:
-        import urllib.request
-
-        error = detail = ""
-        for attempt in range(1, self.retries + 2):
-            try:
-                request = urllib.request.Request(url, headers={"User-Agent": self.agent})
-                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                    body = answer.read(self.max_bytes).decode(answer.headers.get_content_charset() or "utf-8", "replace")
-                    return url, answer.geturl(), body, attempt, None, None
-            except Exception as failure:
-                error, detail = ("timeout" if isinstance(failure, TimeoutError) else "error"), f"{type(failure).__name__}: {failure}"
-            if attempt <= self.retries:
-                time.sleep(self.delay)
-        return url, None, None, self.retries + 1, error, detail
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LivePages)
-
-
 def follow_redirects(links: DataFrame, redirects: DataFrame, dns: DataFrame | None = None, *, hops: int = HOPS, allow_private_hosts: bool = False) -> DataFrame:
     """Adds final_url, hops, blocked_reason, blocked_url by following redirects (url, location), each hop vetted.
 
     The first hop that is not allowed blocks the page and is named. More than `hops` hops, loops among them, block it as
     well. One join a hop, over the links still moving.
     """
-    to = redirects.select(F.col("url").alias("_at"), F.coalesce(urls.root_relative(F.col("url"), F.col("location")), urls.resolve("url", "location")).alias("_to"))
+    to = redirects.select(F.col("url").alias("_at"), urls.resolve(F.col("url"), F.col("location")).alias("_to"))
     known = guard.vet(to.withColumn("url", F.col("_to")), dns, allow_private_hosts=allow_private_hosts).select("_at", F.col("url").alias("_to"), F.col("reason").alias("_why"))
     moving = links.withColumns({"final_url": F.col("url"), "hops": F.lit(0), "blocked_reason": F.lit(None).cast("string"), "blocked_url": F.lit(None).cast("string")})
     for _ in range(hops + 1):
@@ -113,11 +39,10 @@ def follow_redirects(links: DataFrame, redirects: DataFrame, dns: DataFrame | No
 
 def follow_redirects_sql(spark: SparkSession, links: DataFrame, redirects: DataFrame, *, hops: int = HOPS) -> DataFrame:
     """url, final_url, hops without vetting, as one recursive query; the end of each chain within the bound."""
-    links.createOrReplaceTempView("_links")
-    redirects.createOrReplaceTempView("_redirects")
+    # Tables as arguments of the text: no view stays in the session.
     return spark.sql(f"""
       WITH RECURSIVE walk(url, at, hops) AS (
-        SELECT url, url, 0 FROM (SELECT DISTINCT url FROM _links)
+        SELECT url, url, 0 FROM (SELECT DISTINCT url FROM {{links}})
         UNION ALL
-        SELECT w.url, r.location, w.hops + 1 FROM walk w JOIN _redirects r ON w.at = r.url WHERE w.hops < {hops})
-      SELECT url, max_by(at, hops) AS final_url, max(hops) AS hops FROM walk GROUP BY url""")
+        SELECT w.url, r.location, w.hops + 1 FROM walk w JOIN {{redirects}} r ON w.at = r.url WHERE w.hops < {hops})
+      SELECT url, max_by(at, hops) AS final_url, max(hops) AS hops FROM walk GROUP BY url""", links=links, redirects=redirects)

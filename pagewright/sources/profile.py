@@ -37,6 +37,8 @@ class Settings:
     formats: tuple[str, ...] = ("text",)
     ua: str | None = None
     allow_private_hosts: bool = False
+    #: A table of stored pages to read instead of loading them.
+    pages: str | None = None
 
     def missing(self) -> tuple[str, ...]:
         return tuple(name for name in SELECTORS if not getattr(self, name).strip())

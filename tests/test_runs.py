@@ -86,14 +86,6 @@ def test_redirects_are_vetted(spark):
     assert got["https://e.com/loop"].blocked_reason == "too_many_redirects"
 
 
-def test_live_pages_turn_failures_into_rows(spark, tmp_path):
-    page_sources.register(spark)
-    (tmp_path / "a.html").write_text("<h1>x</h1>")
-    urls = json.dumps([f"file://{tmp_path}/a.html", "http://127.0.0.1:9/none"])
-    got = {r.url: r for r in spark.read.format("live_pages").option("urls", urls).option("retries", "1").option("min_delay", "0").option("timeout", "2").load().collect()}
-    assert got[f"file://{tmp_path}/a.html"].html == "<h1>x</h1>" and got["http://127.0.0.1:9/none"].error == "error" and got["http://127.0.0.1:9/none"].attempts == 2
-
-
 def test_profile(tmp_path):
     path = tmp_path / "p.toml"
     path.write_text('[selectors]\nlink = "a"\n[options]\nmax = 25\nformats = ["text", "jsonl"]\n')
@@ -134,8 +126,23 @@ def test_run_and_resume(spark, tmp_path):
     assert [x.get("from_checkpoint", False) for x in lines[:-1]] == [True, True, False] and lines[-1]["failed"][0]["reason"] == "error"
     assert open(f"{out}/combined.txt").read().count("-" * 80) == 3
     _book(spark, pages, 4, first=2)
-    assert cli.run(spark, args) == 1 and state.header(f"{out}/.state")["number"] == 2
-    assert cli.run(spark, [*args[:-2], "--link", "ol a"]) == 1
+    assert cli.run(spark, args) == 2 and state.Store(spark, f"{out}/.state").header().number == 2
+    assert cli.run(spark, [*args[:-2], "--link", "ol a"]) == 2
     assert cli.run(spark, ["--pages", pages, "--toc", "file:///x", *args[4:]]) == 2
+    assert cli.run(spark, [*args, "--out", "hdfs://somewhere/out"]) == 2
     (tmp_path / "out/.state/state.json").write_text("{broken")
-    assert state.load(spark, f"{out}/.state") is None
+    assert state.Store(spark, f"{out}/.state").header() is None
+
+
+def test_changed_files_are_refused(spark, tmp_path):
+    pages, out = f"{tmp_path}/pages", f"{tmp_path}/out"
+    args = ["--pages", pages, "--toc", "https://e.com/toc", "--link", "ol.toc a", "--title", "h1.title", "--content", "article.reader", "--out", out]
+    _book(spark, pages, 2)
+    assert cli.run(spark, args) == 0 and cli.run(spark, args) == 0
+    file = f"{out}/001 - Chapter 1.txt"
+    kept = open(file).read()
+    open(file, "w").write("changed")
+    assert cli.run(spark, args) == 1 and open(file).read() == "changed"
+    os.remove(file)
+    assert cli.run(spark, args) == 1
+    assert cli.run(spark, [*args, "--force"]) == 0 and open(file).read() == kept
