@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.common import pick, read
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 250_000
 CACHED_PAIRS = 600_000
 CACHED_PIECE_BYTES = 64
 
@@ -161,23 +161,69 @@ class PrefixEncoder:
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    whole = vocabulary.ranks.get(piece)
-    return [whole] if whole is not None else PrefixEncoder(vocabulary, piece).ids()
+    """Ids of one piece: the last token of each prefix from the shortest on, then back from the end."""
+    get, known, follows = vocabulary.ranks.get, vocabulary.known, vocabulary.follows
+    whole = get(piece)
+    if whole is not None:
+        return [whole]
+    if len(known) > CACHED_PAIRS:
+        known.clear()
+    if len(piece) > vocabulary.longest:
+        return PrefixEncoder(vocabulary, piece).ids()
+    last = [get(piece[:1])]
+    starts = [0]
+    start = 0
+    for end in range(2, len(piece) + 1):
+        # Only one token ends each prefix, so the order of trials is free: the last one a byte longer is the likeliest.
+        token, tried = get(piece[start:end]), start
+        if token is not None and start:
+            pair = last[start - 1] << 32 | token
+            ok = known.get(pair)
+            if ok is None:
+                ok = known[pair] = follows(last[start - 1], token)
+            if not ok:
+                token = None
+        if token is None:
+            for start in range(end - 1, -1, -1):
+                if start == tried or (token := get(piece[start:end])) is None:
+                    continue
+                if not start:
+                    break
+                pair = last[start - 1] << 32 | token
+                ok = known.get(pair)
+                if ok is None:
+                    ok = known[pair] = follows(last[start - 1], token)
+                if ok:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+        last.append(token)
+        starts.append(start)
+    ids, at = [], len(piece)
+    while at:
+        ids.append(last[at - 1])
+        at = starts[at - 1]
+    return ids[::-1]
 
 
 class _Pieces(dict):
-    """Piece of text to its ids, worked out once for each distinct piece; bounded."""
+    """Piece of text to its ids. Two generations of bounded size: what is asked for again moves from the older to this one."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = tuple(encode_piece(self.vocabulary, raw))
-        if len(raw) <= CACHED_PIECE_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = tuple(encode_piece(self.vocabulary, raw))
+            if len(raw) > CACHED_PIECE_BYTES:
+                return ids
+        if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 

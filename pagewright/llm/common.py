@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.session import sound_unions
+
 # Bytes outside `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` become spaces after A-Z are lower-cased; bytes from 0x80 on are kept.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -28,6 +30,7 @@ BATCH_ROWS = 1000
 
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sound_unions(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
