@@ -90,8 +90,9 @@ def plan(stored_fingerprint: str, wanted_fingerprint: str, comparison: str, comp
     return {"usable": told != "diverged", "discard": False, "comparison": told, "already_done": completed, "renumbering": told == "grew_at_start" and completed > 0}
 
 
-def next_index(completed: DataFrame) -> DataFrame:
-    return completed.agg((F.coalesce(F.max("idx"), F.lit(0)) + 1).alias("next_index"))
+def next_index(completed: DataFrame, key: list[str] = ()) -> DataFrame:
+    """The number that follows the completed chapters', over all of them or by key."""
+    return completed.groupBy(*key).agg((F.coalesce(F.max("idx"), F.lit(0)) + 1).alias("next_index"))
 
 
 def merge_prior(current: DataFrame, prior: DataFrame, *, key: list[str]) -> DataFrame:

@@ -187,42 +187,64 @@ def redirect_final_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "final_url", F.col("hops").cast("int").alias("hops"), (F.col("url") != F.col("final_url")).alias("redirected"))
 
 
-@query(f"SELECT url, final_url, hops, 'none' AS blocked FROM ({_WALK})")
+# By the page's id its address leads to a private machine, over two hops to a page, round and round, or to another scheme.
+_TRAIL = """CASE page_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"""
+
+
+@query(f"""SELECT url, {_TRAIL.format('url', "url || '/b'", "url || '/loop'", "url || '/n'")} AS final_url, {_TRAIL.format(0, 2, 4, 1)}::INTEGER AS hops,
+  {_TRAIL.format("'private_address'", "'none'", "'too_many_redirects'", "'disallowed_scheme'")} AS blocked,
+  {_TRAIL.format("'http://10.0.0.1/x'", "''", "url || '/loop'", "'ftp://files/y'")} AS blocked_url FROM pages""")
 def redirect_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    found = page_sources.follow_redirects(pages.select("url").distinct(), _redirects(pages), hops=4)
-    return found.select("url", "final_url", "hops", F.coalesce("blocked_reason", F.lit("none")).alias("blocked"))
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    kind, u = F.col("page_id") % 4, F.col("url")
+    step = lambda a, b: F.struct(a.alias("url"), b.alias("location"))
+    more = lambda x: F.concat(u, F.lit(x))
+    trails = (
+        F.when(kind == 0, F.array(step(u, F.lit("http://10.0.0.1/x")))).when(kind == 1, F.array(step(u, more("/a")), step(more("/a"), more("/b"))))
+        .when(kind == 2, F.array(step(u, more("/loop")), step(more("/loop"), more("/loop")))).otherwise(F.array(step(u, more("/n")), step(more("/n"), F.lit("ftp://files/y"))))
+    )
+    found = page_sources.follow_redirects(pages.select("url"), pages.select(F.explode(trails).alias("s")).select("s.*"), hops=4)
+    return found.select("url", "final_url", "hops", F.coalesce("blocked_reason", F.lit("none")).alias("blocked"), F.coalesce("blocked_url", F.lit("")).alias("blocked_url"))
 
 
 # -- robots
 
 ROBOTS = "# comment line\nUser-agent: *\nDisallow: /private/\nCrawl-delay: 4\n\nUser-agent: PageReader\nUser-agent: Other\nDisallow: /en/1\nAllow: /en/\nDisallow: /fr/ # all\nDisallow: /fr/8\nCrawl-delay: 7\nnonsense\n"
+#: A blank line and rules before any agent count for nothing.
+ROBOTS_ALL = "Disallow: /\r\n\r\nuser-AGENT : *\r\nAllow: /en/2\r\nDisallow: /en\r\nDisallow:\r\nCrawl-delay: 3\r\n"
 AGENT = "PageReader/2.0"
 RULES = [(1, 3, "disallow", "/private/"), (1, 4, "crawl-delay", "4"), (2, 8, "disallow", "/en/1"), (2, 9, "allow", "/en/"), (2, 10, "disallow", "/fr/"), (2, 11, "disallow", "/fr/8"), (2, 12, "crawl-delay", "7")]
-# Rules of the group for this agent, which names PageReader and Other.
-_APPLY = sql.values([r[1:] for r in RULES if r[0] == 2 and r[2] != "crawl-delay"], "line_number, directive, v")
+RULES_ALL = [(1, 4, "allow", "/en/2"), (1, 5, "disallow", "/en"), (1, 6, "disallow", ""), (1, 7, "crawl-delay", "3")]
+_ALL_RULES = sql.values([(0, *r) for r in RULES] + [(1, *r) for r in RULES_ALL], "kind, group_id, line_number, directive, v")
+# Rules of the group for this agent: the one that names PageReader and Other, or the only one there is.
+_GOVERNING = [(0, *r[1:], "other") for r in RULES if r[0] == 2] + [(1, *r[1:], "*") for r in RULES_ALL]
+_OURS = sql.values(_GOVERNING, "kind, line_number, directive, v, agent")
+_APPLY = sql.values([r for r in _GOVERNING if r[2] != "crawl-delay" and r[3] != ""], "kind, line_number, directive, v, agent")
 
 
 def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select(urls.origin(F.col("url")).alias("origin")).distinct().withColumn("content", F.lit(ROBOTS))
+    """By the length of its name an origin has rules for this agent, rules for all, or no file."""
+    origins = _pages(spark, sf_dir).select(urls.origin(F.col("url")).alias("origin")).distinct()
+    kind = F.length("origin") % 3
+    return origins.where(kind != 2).withColumn("content", F.when(kind == 0, ROBOTS).otherwise(ROBOTS_ALL))
 
 
-@query(f"SELECT origin, group_id, line_number, directive, v AS value FROM (SELECT DISTINCT {sql.origin('url')} AS origin FROM pages), {sql.values(RULES, 'group_id, line_number, directive, v')}")
+@query(f"SELECT origin, group_id, line_number, directive, v AS value FROM (SELECT DISTINCT {sql.origin('url')} AS origin FROM pages) JOIN {_ALL_RULES} ON length(origin) % 3 = kind")
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.parse(_robots(spark, sf_dir)).select("origin", F.col("group_id").cast("int").alias("group_id"), "line_number", "directive", "value")
 
 
-@query(f"SELECT origin, line_number, directive, v AS value FROM (SELECT DISTINCT {sql.origin('url')} AS origin FROM pages), {sql.values([r[1:] for r in RULES if r[0] == 2], 'line_number, directive, v')}")
+@query(f"SELECT origin, line_number, directive, v AS value FROM (SELECT DISTINCT {sql.origin('url')} AS origin FROM pages) JOIN {_OURS} ON length(origin) % 3 = kind")
 def robots_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.governing(robots.parse(_robots(spark, sf_dir)), AGENT).select("origin", "line_number", "directive", "value")
 
 
 def _decided_sql(precedence: str, signed_in: bool) -> str:
     order = "line_number" if precedence == "first" else "1000 * (1000 - length(v)) + line_number"
-    return f"""WITH p AS (SELECT page_id, CASE WHEN {sql.part('url', 3)} = '' THEN '/' ELSE {sql.part('url', 3)} END AS path FROM pages),
-    met AS (SELECT page_id, r.* FROM p LEFT JOIN (SELECT * FROM {_APPLY}) r ON starts_with(path, v)),
+    return f"""WITH p AS (SELECT page_id, length({sql.origin('url')}) % 3 AS k, CASE WHEN {sql.part('url', 3)} = '' THEN '/' ELSE {sql.part('url', 3)} END AS path FROM pages),
+    met AS (SELECT page_id, r.* FROM p LEFT JOIN (SELECT * FROM {_APPLY}) r ON kind = k AND starts_with(path, v)),
     told AS (SELECT page_id, coalesce(arg_min(directive, {order}) = 'disallow', false) AS refused,
-      arg_max('"disallow: ' || v || '" at robots.txt line ' || line_number || ' (User-agent: other)', length(v)) FILTER (WHERE directive = 'disallow') AS rule FROM met GROUP BY page_id)
+      arg_max('"disallow: ' || v || '" at robots.txt line ' || line_number || ' (User-agent: ' || agent || ')', length(v)) FILTER (WHERE directive = 'disallow') AS rule FROM met GROUP BY page_id)
     SELECT page_id, (NOT refused OR {str(signed_in).lower()}) AS robots_allowed, CASE WHEN refused THEN rule ELSE '' END AS robots_rule, (refused AND {str(signed_in).lower()}) AS robots_override FROM told"""
 
 
@@ -264,9 +286,10 @@ def extract_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.chapters(_pages(spark, sf_dir), "article h1", "article").select("page_id", "title", "body")
 
 
-@query("SELECT page_id, 'selector_not_found' AS reason FROM pages")
+@query("""SELECT page_id, CASE WHEN len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>')) >= 6 THEN '' ELSE 'selector_not_found' END AS reason FROM pages""")
 def selector_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.chapters(_pages(spark, sf_dir), "h1", "article.reader").select("page_id", F.col("error").alias("reason"))
+    """Some pages have a sixth link and some have not."""
+    return records.chapters(_pages(spark, sf_dir), "h1", "nav li:nth-child(6) > a").select("page_id", F.coalesce("error", F.lit("")).alias("reason"))
 
 
 # Texts have no links or advertisements of their own: each gets some, in front and behind.
@@ -377,18 +400,25 @@ olds AS (SELECT page_id, list({sql.normalize('url')} ORDER BY pos) AS s FROM sto
 SELECT page_id, CASE WHEN s IS NULL OR s = c THEN 'identical' WHEN len(c) < len(s) THEN 'diverged' WHEN c[1 : len(s)] = s THEN 'grew_at_end'
   WHEN c[len(c) - len(s) + 1 : len(c)] = s THEN 'grew_at_start' ELSE 'diverged' END AS comparison FROM lists LEFT JOIN olds USING (page_id)""")
 def toc_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    followed = _followed(spark, sf_dir).select("page_id", "pos", "url")
+    followed = incremental.written(_followed(spark, sf_dir).select("page_id", "pos", "url"))
     return resume.compare_tables(_stored(followed), followed, key="page_id")
 
 
-@query(f"""WITH {sql.PAGE_LINKS}, {_STORED_SQL}, today AS (SELECT page_id, pos, {sql.normalize('url')} AS u, url FROM followed), old AS (SELECT page_id, pos, {sql.normalize('url')} AS u, url FROM stored)
-SELECT page_id, count(*) FILTER (WHERE side = 'gone') AS missing, count(*) FILTER (WHERE side = 'new') AS added, '' AS first_missing FROM (
-  SELECT page_id, 'gone' AS side FROM old WHERE (page_id, u) NOT IN (SELECT page_id, u FROM today)
-  UNION ALL SELECT page_id, 'new' FROM today WHERE (page_id, u) NOT IN (SELECT page_id, u FROM old)
-  UNION ALL SELECT DISTINCT page_id, 'page' FROM today) GROUP BY page_id""")
+# Of every third page the stored list has an old address in the first place, of every third the last link is missing as well.
+@query(f"""WITH {sql.PAGE_LINKS}, lasts AS (SELECT page_id AS id, max(pos) AS last FROM followed GROUP BY page_id),
+old AS (SELECT page_id, pos, CASE WHEN page_id % 3 <> 0 AND pos = 0 THEN url || '-old' ELSE url END AS url FROM followed JOIN lasts ON page_id = id WHERE NOT (page_id % 3 = 2 AND pos = last)),
+today AS (SELECT DISTINCT page_id, {sql.normalize('url')} AS u FROM followed), had AS (SELECT *, {sql.normalize('url')} AS u FROM old),
+gone AS (SELECT page_id, count(*) AS n, arg_min(url, pos) AS first FROM had WHERE (page_id, u) NOT IN (SELECT page_id, u FROM today) GROUP BY page_id),
+come AS (SELECT page_id, count(*) AS n FROM (SELECT page_id, {sql.normalize('url')} AS u FROM followed) WHERE (page_id, u) NOT IN (SELECT page_id, u FROM had) GROUP BY page_id)
+SELECT p.page_id, coalesce(g.n, 0) AS missing, coalesce(c.n, 0) AS added, coalesce(g.first, '') AS first_missing
+FROM (SELECT DISTINCT page_id FROM followed) p LEFT JOIN gone g USING (page_id) LEFT JOIN come c USING (page_id)""")
 def toc_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    followed = _followed(spark, sf_dir).select("page_id", "pos", "url")
-    return resume.divergence(_stored(followed), followed, key="page_id")
+    # The links are read twice, by both sides; written once, their pages are parsed once.
+    followed = incremental.written(_followed(spark, sf_dir).select("page_id", "pos", "url"))
+    last = followed.groupBy("page_id").agg(F.max("pos").alias("last"))
+    kind = F.col("page_id") % 3
+    old = followed.join(last, "page_id").where(~((kind == 2) & (F.col("pos") == F.col("last")))).withColumn("url", F.when((kind != 0) & (F.col("pos") == 0), F.concat("url", F.lit("-old"))).otherwise(F.col("url")))
+    return resume.divergence(old, followed, key="page_id")
 
 
 # -- pacing; times are whole microseconds, so that both engines add alike
@@ -480,15 +510,6 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {sql.ACCOUNTED}
-SELECT count(*) AS raw_links, count(*) FILTER (WHERE status = 'kept') AS kept, count(*) FILTER (WHERE status = 'truncated') AS truncated, count(*) FILTER (WHERE status = 'rejected') AS duplicates,
-  (SELECT count(*) FROM pages) AS completed FROM accounted""")
-def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _accounted(spark, sf_dir).agg(F.count(F.lit(1)).alias("raw_links"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("kept", "kept"), ("truncated", "truncated"), ("rejected", "duplicates"))))
-    # Two tables of one row each.
-    return found.crossJoin(_pages(spark, sf_dir).agg(F.count(F.lit(1)).alias("completed")))
-
-
 @query(f"""SELECT page_id, contains(url, '?') AS from_checkpoint FROM pages""")
 def merge_with_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This run loaded pages without a query; all were stored before. The run's own rows win."""
@@ -502,11 +523,15 @@ def incomplete_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.incomplete(pages, resume.pending(pages, _completed(pages)))
 
 
-@query("SELECT count(*) AS kept, count(*) FILTER (WHERE NOT contains(url, '?')) AS completed, 0::BIGINT AS failed, count(*) FILTER (WHERE contains(url, '?')) AS skipped, count(*) FILTER (WHERE NOT contains(url, '?')) AS attempted FROM pages")
+@query("""WITH told AS (SELECT contains(url, '?') AS stored, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>')) >= 6 AS found FROM pages)
+SELECT count(*) AS kept, count(*) FILTER (WHERE NOT stored AND found) AS completed, count(*) FILTER (WHERE NOT stored AND NOT found) AS failed, count(*) FILTER (WHERE stored) AS skipped,
+  count(*) FILTER (WHERE NOT stored) AS attempted FROM told""")
 def run_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir).select("page_id", "url")
-    done = resume.pending(pages, _completed(pages)).withColumn("stripped_urls", F.lit(0))
-    return records.run_totals(pages, done, done.limit(0), resume.skipped(pages, _completed(pages))).drop("total_stripped_urls")
+    """Pages with a query are stored; of the others those without a sixth link fail."""
+    pages = _pages(spark, sf_dir)
+    kept = pages.select(F.col("page_id").alias("idx"), "url")
+    loaded = records.load(resume.pending(kept, _completed(pages)), pages.select("url", "html"), "h1", "nav li:nth-child(6)")
+    return records.run_totals(kept, records.records(loaded), records.failures(loaded), resume.skipped(kept, _completed(pages))).drop("total_stripped_urls")
 
 
 # -- event logs: each user is a run, each event a message about one of seven chapters

@@ -84,20 +84,31 @@ def manifest_lines(records: DataFrame) -> DataFrame:
     return records.select("idx", line.alias("line"))
 
 
-def manifest_summary(accounted: DataFrame, records: DataFrame, failures: DataFrame, toc_url: str) -> DataFrame:
-    """One row with the summary's JSON line; counts are aggregated, details of one book collected in order."""
-    links = accounted.agg(
-        F.count(F.lit(1)).alias("raw_links"), F.count_if(F.col("status") == "kept").alias("kept"), F.count_if(F.col("status") == "truncated").alias("truncated"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "rejected", F.struct("pos", "url", "reason", "detail")))).alias("gone"),
+def manifest_summaries(books: DataFrame, accounted: DataFrame, records: DataFrame, failures: DataFrame, *, key: str) -> DataFrame:
+    """key, line: the summary's JSON line of each book (key, toc_url). Details are those of one book, bounded by its links."""
+    rejected = F.when(F.col("status") == "rejected", F.struct("pos", "url", "reason", "detail"))
+    links = accounted.groupBy(key).agg(
+        F.count(F.lit(1)).alias("raw_links"), *(F.count_if(F.col("status") == s).alias(s) for s in ("kept", "truncated")), F.array_sort(F.collect_list(rejected)).alias("gone")
     )
-    reasons = accounted.where("status = 'rejected'").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejected"))
-    done = records.agg(F.count(F.lit(1)).alias("completed"), F.coalesce(F.sum("stripped_urls"), F.lit(0)).alias("total_stripped_urls"))
-    lost = failures.agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("index"), "url", "reason", "attempts"))).alias("failed"))
-    # Four tables of one row each.
-    whole = links.crossJoin(reasons).crossJoin(done).crossJoin(lost)
+    done = records.groupBy(key).agg(F.count(F.lit(1)).alias("completed"), F.sum("stripped_urls").alias("total_stripped_urls"))
+    lost = failures.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("index"), "url", "reason", "attempts"))).alias("failed"))
+    whole = books.join(links, key, "left").join(done, key, "left").join(lost, key, "left")
+    whole = whole.fillna(0, ["raw_links", "kept", "truncated", "completed", "total_stripped_urls"])
+    none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+    whole = whole.withColumns({"gone": none("gone", whole.schema["gone"].dataType), "failed": none("failed", whole.schema["failed"].dataType)})
+    reasons = F.array_sort(F.array_distinct(F.transform("gone", lambda g: g["reason"])))
+    counts = F.map_from_entries(F.transform(reasons, lambda r: F.struct(r, F.size(F.filter("gone", lambda g: g["reason"] == r))))).alias("rejected")
     detail = F.transform("gone", lambda g: F.struct(g["url"].alias("url"), g["reason"].alias("reason"), g["detail"].alias("detail"))).alias("rejected_detail")
-    told = F.struct(F.lit("summary").alias("type"), F.lit(toc_url).alias("toc_url"), "raw_links", "kept", "truncated", "completed", "rejected", detail, "failed", "total_stripped_urls")
-    return whole.select(F.to_json(told, {"ignoreNullFields": "false"}).alias("line"))
+    told = F.struct(F.lit("summary").alias("type"), "toc_url", "raw_links", "kept", "truncated", "completed", counts, detail, "failed", "total_stripped_urls")
+    return whole.select(key, F.to_json(told, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def manifest_summary(accounted: DataFrame, records: DataFrame, failures: DataFrame, toc_url: str) -> DataFrame:
+    """One row with the JSON line of one book."""
+    spark = accounted.sparkSession
+    books = spark.createDataFrame([(0, toc_url)], "_book int, toc_url string")
+    own = (df.withColumn("_book", F.lit(0)) for df in (accounted, records, failures))
+    return manifest_summaries(books, *own, key="_book").select("line")
 
 
 EXPORTERS: dict[str, Callable[..., DataFrame]] = {"text": text_files, "markdown": markdown_files}

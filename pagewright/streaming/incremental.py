@@ -51,11 +51,15 @@ def paced(requests: DataFrame, interval: float) -> DataFrame:
     )
 
 
-def growth_guard(stored: DataFrame, key: str) -> Callable[[DataFrame], DataFrame]:
-    """Comparison of a batch of index links with the stored ones; diverged pages are for the caller to refuse."""
+def growth_guard(stored: DataFrame, key: str) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """For a batch of index links: how each page relates to the stored links, those to go on with and those to refuse."""
     from pagewright.operators import resume
 
-    return lambda batch: resume.compare_tables(stored, batch, key=key).where(F.col("comparison") != "diverged")
+    def judge(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        told = resume.compare_tables(stored, batch, key=key)
+        return told.where("comparison <> 'diverged'"), told.where("comparison = 'diverged'")
+
+    return judge
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,7 +67,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.gettempdir()
 
@@ -75,3 +80,10 @@ def collected(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, for what several parts of a plan read and is dear to make."""
+    path = f"{shared_folder(df.sparkSession)}/pagewright-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
