@@ -155,18 +155,27 @@ def test_search_is_exact(spark, monkeypatch):
     rows += [(1000 + k, rows[50][1]) for k in range(60)]  # ties beyond k
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8), (2004, [1.0, 2.0]), (2005, []), (50, rows[50][1])]
     assert search(spark, rows) == plain_search(rows, 5, 50)
-    monkeypatch.setattr(vector_search, "QUERY_CHUNK", 4)
-    monkeypatch.setattr(vector_search, "SALTED_ROWS", 50)
+    monkeypatch.setattr(vector_search.lay_out, "__defaults__", (8 * 8 * 20,))
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 7)
     assert search(spark, rows, top=3) == plain_search(rows, 3, 50)
     assert search(spark, rows[:3]) == plain_search(rows[:3], 5, 50) and search(spark, []) == [] and search(spark, [(0, [1.0])]) == []
 
 
 def test_large_components_stay_exact():
     big = np.array([[2.0**29, 3.0], [2.0**29, 4.0]])
-    assert vector_search.products(big, big)[0, 1] == (2**58 + 12) * 1.0
-    scores = np.array([[5.0, 5.0, 5.0, 1.0] * 20])
+    assert vector_search.products(big.astype(np.int64), big.astype(np.int64))[0, 1] == 2**58 + 12
+    scores = np.array([[5, 5, 5, 1] * 20])
     got, ids = vector_search.best(scores, np.arange(80)[None, ::-1], 5)
-    assert got.tolist() == [[5.0] * 5] and ids.tolist() == [[1, 2, 3, 5, 6]]
+    assert got.tolist() == [[5] * 5] and ids.tolist() == [[1, 2, 3, 5, 6]]
+
+
+def test_huge_vectors_take_no_part_and_large_ones_tie_right(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (50, [1.0, 1.0]), (51, [2.0, 2.0]), (100, [3e38, -3e38])]
+    assert search(spark, rows) == plain_search(rows[2:4], 5, 50)
+    # Scores beyond 2**53 that differ in their last bits.
+    large = [(50 * k, [float(2**21), float(k)]) for k in range(6)] + [(7 + k, [float(2**21), float(k % 3)]) for k in range(6)]
+    assert search(spark, large) == plain_search(large, 5, 50)
 
 
 def records(spark, rows):
