@@ -47,6 +47,8 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, dict[tuple[int, int], list]] = {}
+        #: Rows of this flush: one that repeats id and text says nothing new.
+        seen: set[tuple[int, int]] = set()
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -65,14 +67,18 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
                     else:
                         out.append((h1, h2, doc, text_h, n_lines, _positions(at), len(ids) if decided else 1))
             found.clear()
+            seen.clear()
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000]), _LINE_ROWS)], schema=_LINE_ROWS)
 
         for batch in batches:
             raws = batch.column(2).cast(pa.binary()).to_pylist()
             for doc, text_h, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws):
-                lines = raw.split(b"\n")
                 row = (doc, text_h)
+                if row in seen:
+                    continue
+                seen.add(row)
+                lines = raw.split(b"\n")
                 for at, line in enumerate(lines):
                     key = line.strip(_BLANK)
                     if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode("utf-8", "replace")) < min_chars:
@@ -83,7 +89,7 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
                     else:
                         docs[row] = [len(lines), [at]]
                         held += 1
-                if held >= FLUSH_KEYS:
+                if held >= FLUSH_KEYS or len(seen) >= 10 * FLUSH_KEYS:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -167,8 +173,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .sortWithinPartitions("h1", "h2", F.desc("doc_id"), "at")
         .mapInArrow(_first_occurrences(min_docs), _DROP_DDL)
     )
+    # Rows that repeat id and text gave equal positions, which are sets here, combined before the shuffle.
     return (
-        drops.groupBy("doc_id", "text_h").agg(F.first("n_lines").alias("n_lines"), F.collect_list("at").alias("ats"))
+        drops.groupBy("doc_id", "text_h").agg(F.first("n_lines").alias("n_lines"), F.collect_set("at").alias("ats"))
         .mapInArrow(_bitmaps, "doc_id long, text_h long, n_lines int, n_dropped int, keep_bitmap binary")
     )
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -113,6 +114,11 @@ def test_lines_stream_alike_for_any_flush(monkeypatch, flush):
     assert {d: n for d, _, n, _ in plain_lines(docs) if n} == dict(dropped)
 
 
+def test_lines_of_rows_that_repeat_whole(spark):
+    docs = [(7, f"{COMMON}\nown\n{COMMON}")] * 300 + [(k, f"{COMMON}\nlast {k}") for k in range(8, 12)] + [(None, f"{COMMON} and\nmore of the same")] * 40
+    assert digest_lines(table(spark, docs)) == plain_lines(docs)
+
+
 # -- near duplicates
 
 
@@ -448,6 +454,64 @@ def test_quality_learns(spark):
     assert {r.score for r in quality.score(df.select("doc_id", "text"), quality.train(df, labels.limit(0))).collect()} == {0.5}
 
 
+def plain_features(text):
+    """Words, their n-grams with a space at either end, and repetitions, one by one."""
+    points = [32, *(32 if ord(c) < 32 or ord(c) in (0x85, 0xA0) else ord(c) for c in text), 32]
+    found, words = [quality._EVERY], []
+    for order in quality.ORDERS:
+        for k in range(len(points) - order + 1):
+            part = points[k : k + order]
+            if 32 in part[1:-1]:
+                continue
+            h = order * 0x9E3779B1 & 0xFFFFFFFF
+            for p in part:
+                h = (h ^ p) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+            found.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS))
+    for word in bytes.decode(b"".join(c.to_bytes(4, "little") for c in points), "utf-32-le").split(" "):
+        if word:
+            words.append(word)
+            h = sum(ord(c) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word)) & (1 << 64) - 1
+            h ^= h >> 29
+            found.append((h * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> (64 - quality.BUCKET_BITS))
+    for lag in quality.REPEATS:
+        found += [lag] * sum(a == b for a, b in zip(words, words[lag:]))
+    return collections.Counter(found)
+
+
+@pytest.mark.parametrize("text", ["", "a", "one two two one two", "tab\tand\u00a0space", "Ünï çödé 章章 🙂", "aa aa aa b"])
+def test_quality_features(text):
+    at, counts = quality.document_features(text)
+    assert dict(zip(at.tolist(), counts.tolist())) == dict(plain_features(text))
+
+
+def test_quality_descends_the_gradient():
+    """The fit against one that takes each step from the definition, number by number."""
+    rng = random.Random(3)
+    samples = [(k % 2, np.array(sorted(rng.sample(range(40), 6)), np.uint32), np.array([rng.randrange(1, 4) for _ in range(6)], np.uint32)) for k in range(12)]
+    d, steps, rate = 3, 60, 0.4
+    draw = np.random.default_rng(7)
+    vectors = [[float(x) for x in row] for row in ((draw.random((1 << quality.BUCKET_BITS, d), dtype=np.float32) - 0.5) * (2 / d)).astype(np.float32)[:40]]
+    outputs = [[0.0] * d, [0.0] * d]
+    groups = [[k for k, s in enumerate(samples) if s[0] == label] for label in (0, 1)]
+    order = [k for pair in zip(*(np.resize(draw.permutation(g), steps // 2).tolist() for g in groups)) for k in pair]
+    for done, k in enumerate(order):
+        label, at, counts = samples[k]
+        total = int(counts.sum())
+        hidden = [sum(int(c) / total * vectors[a][j] for a, c in zip(at, counts)) for j in range(d)]
+        logits = [sum(o[j] * hidden[j] for j in range(d)) for o in outputs]
+        chance = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+        slope = [chance[i] - (i == label) for i in (0, 1)]
+        now = rate * (1 - done / steps)
+        pull = [sum(slope[i] * outputs[i][j] for i in (0, 1)) for j in range(d)]
+        for i in (0, 1):
+            outputs[i] = [outputs[i][j] - now * slope[i] * hidden[j] for j in range(d)]
+        for a, c in zip(at, counts):
+            vectors[a] = [vectors[a][j] - now * int(c) / total * pull[j] for j in range(d)]
+    want = [sum(v[j] * (outputs[1][j] - outputs[0][j]) for j in range(d)) for v in vectors]
+    assert quality.fit(samples, d, steps, rate)[:40] == pytest.approx(want, abs=1e-5)
+
+
 def test_quality_pieces_cover_whole_texts():
     text = prose(6, 300)
     whole, cut = (np.sort(np.concatenate([quality.features(p) for p in quality.pieces(text, size)])) for size in (1 << 18, 200))
