@@ -424,19 +424,21 @@ def toc_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- pacing; times are whole microseconds, so that both engines add alike
 
 INTERVAL = 2_000_000
+#: An hour.
+RANGE = 3_600_000_000
 
 
 @query(f"""WITH r AS (SELECT event_id, user_id, epoch_us(ts) AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
 SELECT event_id, n * {INTERVAL} + max(arrival - n * {INTERVAL}) OVER (PARTITION BY user_id ORDER BY n) AS start FROM r""")
 def rate_limit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"))
-    return schedule.starts(requests, host="user_id", arrival="arrival", order=["arrival", "event_id"], interval=F.lit(INTERVAL).cast("long")).select("event_id", "start")
+    return schedule.starts(requests, host="user_id", arrival="arrival", order=["arrival", "event_id"], interval=F.lit(INTERVAL).cast("long"), span=RANGE).select("event_id", "start")
 
 
 @query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS gap FROM events")
 def observed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return schedule.gaps(requests, host="user_id", at="at", order=["at", "event_id"]).select("event_id", F.coalesce("gap", F.lit(-1)).alias("gap"))
+    return schedule.gaps(requests, host="user_id", at="at", order=["at", "event_id"], span=RANGE).select("event_id", F.coalesce("gap", F.lit(-1)).alias("gap"))
 
 
 @query("SELECT attempt::INTEGER AS attempt, least(2.5::DOUBLE, 1.2::DOUBLE * power(2.0::DOUBLE, attempt - 1)) AS ceiling FROM range(1, 7) AS t(attempt)")

@@ -55,6 +55,27 @@ def test_pacing(spark):
     assert {r.host: r.interval for r in schedule.effective_intervals(hosts, delays).collect()} == {"h": 4.0, "g": 1.2}
 
 
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_pacing_is_a_fold_for_any_ranges(spark, span):
+    import random
+
+    rng = random.Random(span)
+    asked = [("ab"[rng.randrange(2)], k, float(rng.choice([0, 3, rng.randrange(60)]))) for k in range(80)]
+    want, last = {}, {}
+    for host, k, arrival in sorted(asked, key=lambda r: (r[2], r[1])):
+        want[k] = arrival if host not in last else max(arrival, last[host] + 2.0)
+        last[host] = want[k]
+    rows = spark.createDataFrame(asked, "host string, id int, arrival double")
+    got = schedule.starts(rows, host="host", arrival="arrival", order=["arrival", "id"], interval=F.lit(2.0), span=span)
+    assert {r.id: r.start for r in got.collect()} == want and got.columns == [*rows.columns, "start", "waited"]
+    before: dict[str, float] = {}
+    gaps = {}
+    for host, k, arrival in sorted(asked, key=lambda r: (r[2], r[1])):
+        gaps[k] = arrival - before[host] if host in before else None
+        before[host] = arrival
+    assert {r.id: r.gap for r in schedule.gaps(rows, host="host", at="arrival", order=["arrival", "id"], span=span).collect()} == gaps
+
+
 def test_paced_stream_keeps_state(spark, tmp_path):
     rows = [("h", 1, 0.0), ("h", 2, 0.0), ("h", 3, 9.0)]
     for k, row in enumerate(rows):
