@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, pick, read, shuffle_partitions
+from pagewright.llm.common import materialize, pick, read, scratch, shuffle_partitions
 
 #: Places in a file: FANOUT branches of FANOUT twigs of FANOUT places.
 FANOUT = 10
@@ -182,15 +182,16 @@ def descend(suspects: DataFrame) -> DataFrame:
 
 def audit(held: DataFrame, replica: DataFrame) -> DataFrame:
     """Damaged, missing and extra records of the replica: page_id, file, kind, held and replica content hash and offset, copies."""
-    sides = [leaves(r).withColumn("replica", F.lit(name)) for r, name in ((held, False), (replica, True))]
-    hashed = materialize(sides[0].unionByName(sides[1]), "leaves")
-    stored = materialize(trees(placed(hashed, materialize(crowded(hashed), "crowded"))), "merkle")
-    suspects = materialize(differing(stored), "suspects")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _TREE]
-    opened = stored.join(suspects.select(*(F.col(c).alias(f"_{c}") for c in _TREE)), same, "left_semi")
-    top = F.struct("kids", F.lit(0).cast("long").alias("base"))
-    both = opened.groupBy(*_TREE).agg(F.max_by(F.when(~F.col("replica"), top), ~F.col("replica")).alias("ours"), F.max_by(F.when(F.col("replica"), top), "replica").alias("theirs"))
-    return descend(both)
+    with scratch(held.sparkSession):
+        sides = [leaves(r).withColumn("replica", F.lit(name)) for r, name in ((held, False), (replica, True))]
+        hashed = materialize(sides[0].unionByName(sides[1]), "leaves")
+        stored = materialize(trees(placed(hashed, materialize(crowded(hashed), "crowded"))), "merkle")
+        suspects = materialize(differing(stored), "suspects")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _TREE]
+        opened = stored.join(suspects.select(*(F.col(c).alias(f"_{c}") for c in _TREE)), same, "left_semi")
+        top = F.struct("kids", F.lit(0).cast("long").alias("base"))
+        both = opened.groupBy(*_TREE).agg(F.max_by(F.when(~F.col("replica"), top), ~F.col("replica")).alias("ours"), F.max_by(F.when(F.col("replica"), top), "replica").alias("theirs"))
+        return materialize(descend(both), "audit", keep=True)
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
