@@ -2,11 +2,12 @@
 
 Texts are lower-cased and everything but letters becomes a space; n-grams of one to three characters are hashed into
 buckets. Counts of a bounded training sample give a bucket-by-language matrix of log-probabilities, which is broadcast
-(buckets times languages numbers, whatever the input). Scoring walks each batch's n-grams sparsely in numpy.
+(buckets times languages numbers, whatever the input). Scoring walks each batch's n-grams sparsely in numpy. Sums over the
+overlapping orders count the same letters several times and are divided by their number, which tempers the score only.
 
 Defined cases: a null text or one without letters is `und` with score 0; rows without lang train nothing; with no training
-row at all every text is `und`; ties go to the language first in order; texts of any length are scored whole, in pieces
-whose sums add up; extra columns are ignored.
+row at all every text is `und`; beyond `MAX_LANGUAGES` the rarest lang values train nothing; ties go to the language first in
+order; texts of any length are scored whole, in pieces whose sums add up; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Bound of the training sample, in documents of each language.
 TRAIN_PER_LANGUAGE = 4000
+#: Languages that are learned: the most frequent ones, which bounds the matrix.
+MAX_LANGUAGES = 500
 HELD_OUT_OF = 5
 PIECE_CHARS = 1 << 19
 UNKNOWN = "und"
@@ -132,10 +135,11 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, smoothing
     Rows are drawn by a hash of id and text: by the text alone, a text with many copies could be drawn with all of them.
     """
     rows = pick(labelled, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
+    rows = rows.where(F.col("lang").isin(languages))
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(per_language / sizes[lang]))))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
     # The sample is bounded, so a fixed number of tasks counts it; their counts are summed by bucket before they leave.
