@@ -14,7 +14,7 @@ from pagewright.operators import guard, links, resume, robots
 from pagewright.plans import book
 from pagewright.session import reachable
 from pagewright.sinks.exporters import write_files
-from pagewright.sources import live, state
+from pagewright.sources import live, pages, state
 from pagewright.sources.profile import FORMATS, ProfileError, Settings, load_profile, merged
 
 VERSION = "0.1.0"
@@ -108,7 +108,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return USAGE
     robots_txt = _robots(spark, flags, settings)
     delays = book.crawl_delays(robots_txt, settings.ua) if robots_txt is not None and not settings.pages else None
-    source = book.stored_pages(spark.read.parquet(settings.pages)) if settings.pages else book.live_pages(settings, delays)
+    source = book.stored_pages(pages.table(spark, settings.pages)) if settings.pages else book.live_pages(settings, delays)
     try:
         collected = book.collect_links(spark, source, flags["toc"], settings, dns=spark.read.parquet(flags["dns"]) if "dns" in flags else None, robots_txt=robots_txt)
     except book.IncompleteBook as error:

@@ -36,10 +36,18 @@ def overrides(events: DataFrame) -> DataFrame:
     return events.where("kind = 'override'").groupBy("run", "detail").agg(F.min("seq").alias("seq"))
 
 
-def moves(events: DataFrame) -> DataFrame:
-    """run, seq, before, phase of each change of phase; a run begins idle."""
-    w = Window.partitionBy("run").orderBy("seq")
-    return events.where("kind = 'phase'").select("run", "seq", F.coalesce(F.lag("state").over(w), F.lit("idle")).alias("before"), F.col("state").alias("phase"))
+#: Changes of phase are worked on in ranges of so many numbers of a run's log.
+SPAN = 100_000
+
+
+def moves(events: DataFrame, span: int = SPAN) -> DataFrame:
+    """run, seq, before, phase of each change of phase; a run begins idle. Taken inside ranges of the log and carried from range
+    to range, so that no task holds all of a run."""
+    told = events.where("kind = 'phase'").select("run", "seq", F.col("state").alias("phase"), F.floor(F.col("seq") / span).alias("_range"))
+    last = told.groupBy("run", "_range").agg(F.max_by("phase", "seq").alias("_last"))
+    carried = last.select("run", "_range", F.lag("_last").over(Window.partitionBy("run").orderBy("_range")).alias("_carried"))
+    inside = F.lag("phase").over(Window.partitionBy("run", "_range").orderBy("seq"))
+    return told.join(carried, ["run", "_range"]).select("run", "seq", F.coalesce(inside, "_carried", F.lit("idle")).alias("before"), "phase")
 
 
 def illegal(events: DataFrame) -> DataFrame:

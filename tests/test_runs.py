@@ -98,6 +98,22 @@ def test_phases(spark):
     assert {(r.run, r.before, r.phase) for r in runlog.illegal(events).collect()} == {(1, "launching", "done"), (2, "idle", "browsing")}
 
 
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_moves_are_carried_over_ranges(spark, span):
+    states = ["launching", "browsing", "failed", "idle", "launching", "done", "idle"]
+    events = spark.createDataFrame([(r, 2 * k + r, "phase" if k != 3 else "chapter", s) for r in (1, 2) for k, s in enumerate(states)], "run int, seq int, kind string, state string")
+    kept = [s for k, s in enumerate(states) if k != 3]
+    got = {(r.run, r.seq): (r.before, r.phase) for r in runlog.moves(events, span).collect()}
+    assert [got[key] for key in sorted(got) if key[0] == 2] == list(zip(["idle", *kept], kept)) and len(got) == 12
+
+
+def test_growing_pages_are_told_from_diverged_ones(spark):
+    stored = spark.createDataFrame([(1, 0, "https://e.com/a"), (2, 0, "https://e.com/a"), (3, 0, "https://e.com/a")], "page_id int, pos int, url string")
+    today = spark.createDataFrame([(1, 0, "https://e.com/a"), (1, 1, "https://e.com/b"), (2, 0, "https://e.com/x"), (3, 0, "https://e.com/a")], "page_id int, pos int, url string")
+    going, refused = incremental.growth_guard(stored, "page_id")(today)
+    assert {(r.page_id, r.comparison) for r in going.collect()} == {(1, "grew_at_end"), (3, "identical")} and [r.page_id for r in refused.collect()] == [2]
+
+
 def test_redirects_are_vetted(spark):
     links = spark.createDataFrame([("https://e.com/a",), ("https://e.com/p",), ("https://e.com/loop",), ("https://e.com/f",)], "url string")
     moves = spark.createDataFrame([("https://e.com/a", "/b"), ("https://e.com/b", "https://e.com/c"), ("https://e.com/p", "http://169.254.169.254/"), ("https://e.com/loop", "/loop"), ("https://e.com/f", "file:///etc/passwd")], "url string, location string")
