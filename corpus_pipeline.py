@@ -16,13 +16,17 @@ from pagewright.llm.common import fresh, materialize, read
 
 #: A document whose best language is less likely than this is in no language known.
 LEAST_CHANCE = 0.5
+#: A document is in no language known either if less of its n-grams than this were met in training.
+LEAST_FIT = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language the model knows; those without letters or without a likely language go."""
-    lang, score = fresh(docs.columns, "lang_pred", "score")
-    found = language_id.identify(docs, language_id.learn(docs), (lang, score))
-    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_CHANCE)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Keeps documents in a language the model knows; those without letters, without a likely language or in one that was never
+    learned go."""
+    lang, score, fit = fresh(docs.columns, "lang_pred", "score", "fit")
+    found = language_id.identify(docs, language_id.learn(docs), (lang, score, fit))
+    likely = (F.col(score) >= LEAST_CHANCE) & (F.col(fit) >= LEAST_FIT)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & likely).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

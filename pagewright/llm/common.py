@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, but memory that Arrow keeps for later batches goes back when the task ends: worker processes live on, and what
+    they keep is missing in the stages that follow."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 #: Paths of the tables written inside each open `scratch`, innermost last.
 _scratch: list[list[str]] = []
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import crc_bucket, pick, read
+from pagewright.llm.common import crc_bucket, pick, read, released
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -82,10 +82,18 @@ class LanguageModel:
     #: log P(bucket | language), less the mean over languages, which changes no comparison and keeps sums exact enough.
     log_probability: np.ndarray
     prior: np.ndarray
+    #: Which buckets any training text has; without it all count as such.
+    held: np.ndarray | None = None
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its chance among the languages."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, chance and fit: the share of the longest n-grams that begin with a letter and that training texts had. The
+        chance compares languages that are known, whatever the text's own; the fit is low where that is none of them."""
         n = len(self.languages)
-        sums, letters = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64)
+        sums, letters, fitting = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for who, held in pieces(texts):
             points = np.concatenate(held)
             overlap = max(ORDERS) - 1
@@ -100,8 +108,11 @@ class LanguageModel:
             places = np.searchsorted(seen_at, starts)
             np.add.at(letters, who, np.add.reduceat(seen[seen_at].astype(np.int64), places))
             for order in ORDERS:
-                got = self.log_probability[buckets(points, order)[seen_at]]
+                at = buckets(points, order)[seen_at]
+                got = self.log_probability[at]
                 np.add.at(sums, who, np.add.reduceat(got, places, axis=0, dtype=np.float64))
+            met = seen[seen_at] if self.held is None else seen[seen_at] & self.held[at]
+            np.add.at(fitting, who, np.add.reduceat(met.astype(np.int64), places))
         if n:
             # Overlapping orders count the same evidence several times.
             logits = sums / len(ORDERS) + self.prior
@@ -109,7 +120,8 @@ class LanguageModel:
             spread = np.exp(logits - logits.max(axis=1, keepdims=True))
             chance = spread.max(axis=1) / spread.sum(axis=1)
         known = letters > 0 if n else np.zeros(len(texts), bool)
-        return [self.languages[best[k]] if known[k] else UNKNOWN for k in range(len(texts))], [float(chance[k]) if known[k] else 0.0 for k in range(len(texts))]
+        which = [self.languages[best[k]] if known[k] else UNKNOWN for k in range(len(texts))]
+        return which, [float(chance[k]) if known[k] else 0.0 for k in range(len(texts))], (fitting / np.maximum(letters, 1)).tolist()
 
 
 def _counts(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,7 +163,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, smoothing
     log_probability = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=1, keepdims=True))
     log_probability -= log_probability.mean(axis=0, keepdims=True)
     total = np.array([sizes[lang] for lang in languages], float)
-    return LanguageModel(tuple(languages), np.ascontiguousarray(log_probability.T, np.float32), np.log(total / total.sum()))
+    return LanguageModel(tuple(languages), np.ascontiguousarray(log_probability.T, np.float32), np.log(total / total.sum()), counts.any(axis=0))
 
 
 def _scorer(shared, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,20 +171,21 @@ def _scorer(shared, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 some = batch.slice(part, 1000)
-                langs, scores = shared.value.score(some.column("text").to_pylist())
+                langs, scores, fits = shared.value.judge(some.column("text").to_pylist())
                 kept = [f.name for f in some.schema if f.name not in names]
-                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
+                told = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in kept), *told], names=[*kept, *names])
 
-    return run
+    return released(run)
 
 
-def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The rows with lang_pred and score, under these or other names; columns that already had the names are replaced."""
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """The rows with lang_pred, score and fit, under these or other names; columns that already had the names are replaced."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name not in names]
-    return docs.mapInArrow(_scorer(shared, list(names)), StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return docs.mapInArrow(_scorer(shared, list(names)), StructType([*fields, StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])]))
 
 
 def learn(docs: DataFrame) -> LanguageModel:

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup, quality, sharding
 from pagewright.llm.common import word_split
 
@@ -440,6 +442,18 @@ def test_language_id_learns(spark):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"} and language_id.identify(df.limit(0), nothing).count() == 0
 
 
+def test_text_of_a_language_never_learned_does_not_fit(spark):
+    english, german = "the and of this with that from have".split(), "der die und nicht für über schön müssen".split()
+    rng = random.Random(2)
+    rows_ = [(k, " ".join(rng.choice(g) for _ in range(20)), lang) for k, (g, lang) in enumerate([(english, "en"), (german, "de")] * 60)]
+    rows_ += [(500, "Быстрая коричневая лиса прыгает через ленивую собаку", None), (501, "zxqv kjwq vvxz qqkz xwjv zzqk jxvq", None), (502, "敏捷的棕色狐狸跳过懒狗", None), (503, "12", None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.fit for r in language_id.identify(df, language_id.learn(df)).collect()}
+    assert all(got[k] > 0.95 for k in range(120)) and all(got[k] < 0.3 for k in range(500, 504))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert kept == set(range(120))
+
+
 def test_quality_learns(spark):
     rng = random.Random(4)
     good = lambda: prose(rng.random(), 40)
