@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm.common import pick, read
+from pagewright.llm.common import pick, read, released
 
-CACHED_PIECES = 250_000
-CACHED_PAIRS = 600_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
 CACHED_PIECE_BYTES = 64
 
 
@@ -213,6 +213,10 @@ class _Pieces(dict):
         self.vocabulary = vocabulary
         self.older: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
@@ -227,7 +231,7 @@ class _Pieces(dict):
         return ids
 
 
-#: The working vocabulary of this worker process and its pieces, kept between tasks.
+#: The working vocabulary of this worker process, kept between tasks, and its pieces, kept during one.
 _ready: dict[tuple[str, str], tuple[Vocabulary, _Pieces, list[bytes], list[str], regex.Pattern]] = {}
 
 
@@ -241,11 +245,11 @@ def _prepared(lines: bytes, pattern: str) -> tuple[Vocabulary, _Pieces, list[byt
 
 
 def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces, token, digits, split = _prepared(shared.value, pattern)
         for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                some = batch.slice(part, 1000)
+            for part in range(0, batch.num_rows, 500):
+                some = batch.slice(part, 500)
                 counts, id_hashes, decoded, held = [], [], [], array("i")
                 for text in some.column("text").to_pylist():
                     ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
@@ -262,7 +266,16 @@ def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.Reco
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            # The worker process goes on to other tasks and stages, whose memory this would take.
+            vocabulary, pieces, *_ = _prepared(shared.value, pattern)
+            pieces.forget()
+            vocabulary.known.clear()
+
+    return released(run)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, keep_ids: bool = True) -> DataFrame:

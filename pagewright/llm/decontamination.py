@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, materialize, pick, read, word_split
+from pagewright.llm.common import fresh, materialize, pick, read, released, word_split
 
 WINDOW = 10
 MAX_ITEM_WORDS = 100_000
@@ -270,7 +270,7 @@ def _cleaner(shared, max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]]
             got = [clean(raw, shared.value) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
             yield _with_texts(batch, [t for _, t in got], batch.schema.names).filter(pa.array([ok for ok, _ in got], pa.bool_()))
 
-    return run
+    return released(run)
 
 
 def _cutter(max_coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -316,6 +316,7 @@ def decontaminate(
     return _decontaminate_by_groups(docs, groups, max_coverage)
 
 
+@released
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in batch.column("hit").to_pylist()]

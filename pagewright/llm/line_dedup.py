@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, pick, read, shuffle_partitions
+from pagewright.llm.common import fresh, materialize, pick, read, released, shuffle_partitions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -94,7 +94,7 @@ def _hashed_lines(min_chars: int, min_docs: int) -> Callable[[Iterator[pa.Record
                     held = 0
         yield from flush()
 
-    return run
+    return released(run)
 
 
 def _first_occurrences(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -134,9 +134,10 @@ def _first_occurrences(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], It
         if out:
             yield emit()
 
-    return run
+    return released(run)
 
 
+@released
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collected drop positions of a document to its compressed keep bitmap."""
     for batch in batches:
@@ -192,13 +193,17 @@ def kept_lines(raw: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Documents with one more column, the last: the bitmap of each, null where nothing is dropped."""
+    # Written first: made in the stage that reads the texts, they would take a second Python worker for each of its tasks.
+    bitmaps = materialize(bitmaps, "bitmaps")
     doc_id, text_h = _identity()
     own_id, own_h, bitmap = fresh(docs.columns, "_id", "_h", "_bitmap")
     keyed = bitmaps.select(F.col("doc_id").alias(own_id), F.col("text_h").alias(own_h), F.col("keep_bitmap").alias(bitmap))
     own = docs.withColumns({own_id: doc_id, own_h: text_h})
-    return own.join(keyed, [own_id, own_h], "left").select(*(F.col(f"`{c}`") for c in docs.columns), bitmap)
+    # The bitmaps, one a document, are the side that is hashed: texts stream past them and are never sorted.
+    return own.join(keyed.hint("shuffle_hash"), [own_id, own_h], "left").select(*(F.col(f"`{c}`") for c in docs.columns), bitmap)
 
 
+@released
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raws = batch.column(1).cast(pa.binary()).to_pylist()
@@ -209,6 +214,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *names, bitmap = batch.schema.names

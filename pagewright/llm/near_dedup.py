@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, materialize, pick, read, scratch, shuffle_partitions, word_split
+from pagewright.llm.common import fresh, materialize, pick, read, released, scratch, shuffle_partitions, word_split
 
 SHINGLE = 5
 TABLES = 12
@@ -106,6 +106,7 @@ def order_keys(marks: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+@released
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns but the text, its number of labels, 128 bits that name its words, and its keys."""
     cache = _Words()
@@ -126,6 +127,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, "n", "e1", "e2", "keys"])
 
 
+@released
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Words()
     for batch in batches:
@@ -166,7 +168,7 @@ def _aligned(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             linked = [alignment(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) >= least for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return run
+    return released(run)
 
 
 def shared_counts(seqs: list[np.ndarray]) -> np.ndarray:
@@ -237,7 +239,7 @@ def _blocks(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         if held:
             yield links()
 
-    return run
+    return released(run)
 
 
 def _empty(df: DataFrame) -> bool:
@@ -317,8 +319,8 @@ def near_texts(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = members.select("node").union(hubs.select("hub")).distinct()
     # The nodes grow with the input, so they are not to be broadcast while they happen to be few: the plan is one at any size.
     wanted = nodes.select("rid", "text_h", "node").join(wanted.hint("merge"), "node", "left_semi")
-    # Rows that repeat both id and text have equal sequences.
-    of_text = rows.select("rid", "text_h", "text").join(wanted.hint("merge"), ["rid", "text_h"]).select("node", "text")
+    # Rows that repeat both id and text have equal sequences. Keys are the hashed side, so texts are not sorted.
+    of_text = rows.select("rid", "text_h", "text").join(wanted.hint("shuffle_hash"), ["rid", "text_h"]).select("node", "text")
     sequences = materialize(of_text.mapInArrow(_sequences, "node long, seq binary").dropDuplicates(["node"]), "sequences")
 
     pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
@@ -407,7 +409,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         repeated = materialize(keyed.where("rows > 1").join(best, names, "left_semi").select(*names), "repeated", keep=True)
         gone = materialize(lost.unionByName(repeated), "gone", keep=True)
     renamed = lambda df: df.select(*(F.col(n).alias(k) for k, n in zip(key, names)))
-    single = rows.join(renamed(gone), key, "left_anti").select(*columns)
+    single = rows.join(renamed(gone).hint("shuffle_hash"), key, "left_anti").select(*columns)
     if _empty(repeated):
         return single
     # Combined before the shuffle, so that a row of many copies sends one from each task.
