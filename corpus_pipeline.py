@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup
-from pagewright.llm.common import fresh, materialize, read
+from pagewright.llm.common import fresh, materialize, read, scratch
 
 #: A document whose best language is less likely than this is in no language known.
 LEAST_CHANCE = 0.5
@@ -63,6 +63,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    # Only the last stage's table stays.
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), keep=name == STAGES[-1][0])
     return docs
