@@ -230,6 +230,84 @@ def test_alignment_respects_order():
     assert near_dedup.alignment(a, a[:90]) == pytest.approx(90 / 96) and near_dedup.alignment(a, a[:10]) == 0
 
 
+def plain_similarity(a, b):
+    """Longest common subsequence of the occurrence-labelled shingles of five words, by the full table, over their union."""
+    sides = []
+    for words in (a, b):
+        seen = collections.Counter()
+        size = min(5, len(words))
+        marks = []
+        for k in range(len(words) - size + 1 if words else 0):
+            shingle = tuple(words[k : k + size])
+            marks.append((shingle, seen[shingle]))
+            seen[shingle] += 1
+        sides.append(marks)
+    x, y = sides
+    row = [0] * (len(y) + 1)
+    for p in x:
+        last = 0
+        for k, q in enumerate(y):
+            last, row[k + 1] = row[k + 1], last + 1 if p == q else max(row[k + 1], row[k])
+    return row[-1] / (len(x) + len(y) - row[-1]) if x or y else 0.0
+
+
+def edited(rng, words):
+    out = list(words)
+    for _ in range(rng.randrange(3)):
+        kind, at = rng.randrange(4), rng.randrange(len(out))
+        if kind == 0:
+            out[at] = f"new{rng.randrange(99)}"
+        elif kind == 1:
+            del out[at]
+        elif kind == 2:
+            out[at:at] = out[at : at + rng.randrange(1, 12)]
+        else:
+            cut = rng.randrange(1, 15)
+            block = out[at : at + cut]
+            del out[at : at + cut]
+            to = rng.randrange(len(out) + 1)
+            out[to:to] = block
+    return out
+
+
+def test_alignment_by_a_plain_version():
+    rng, cache, near = random.Random(21), near_dedup._Words(), 0
+    marks = lambda words: near_dedup.labels([w.encode() for w in words], cache)
+    for k in range(250):
+        base = [rng.choice(WORDS[:6]) if k % 3 == 0 else rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 160))]
+        a, b = edited(rng, base), edited(rng, base)
+        want, got = plain_similarity(a, b), near_dedup.alignment(marks(a), marks(b))
+        assert (got >= 0.8) == (want >= 0.8) and (want < 0.8 or got == pytest.approx(want))
+        near += want >= 0.8
+    assert 60 < near < 200
+
+
+def test_classes_by_a_plain_version(spark):
+    """Near copies of several families and everything between them, by all pairs and nothing of the operator's own."""
+    rng = random.Random(31)
+    docs = []
+    for family in range(4):
+        base = prose(600 + family, 50).split()
+        docs += [(10 * family + k, " ".join(edited(rng, base))) for k in range(8)]
+    parent = {d: d for d, _ in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (d, text) in enumerate(docs):
+        for e, other in docs[:k]:
+            if plain_similarity(words_of(text), words_of(other)) >= 0.8:
+                parent[find(d)] = find(e)
+    groups, want = collections.defaultdict(set), collections.defaultdict(set)
+    for r in near_dedup.near_classes(table(spark, docs)).collect():
+        groups[r["class"]].add(r.rid)
+    for d, _ in docs:
+        want[find(d)].add(d)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len(want) > 4
+
+
 def test_classes_of_long_chains(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (5, 200), (7, 7)]
     got = {r.node: r["class"] for r in near_dedup.classes_of(spark.createDataFrame(links, "a long, b long")).collect()}
