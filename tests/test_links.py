@@ -91,3 +91,62 @@ def test_selectors():
 
 def test_guard_keeps_every_reason_known():
     assert len(set(guard.REASONS)) == 9
+
+
+def test_longer_addresses_agree_with_the_library(spark):
+    import random
+
+    rng, texts = random.Random(1), []
+    for _ in range(1500):
+        groups = [rng.choice([0, 0, 0, 1, 0xFFFF, 0x2001, 0x2002, 0xDB8, 0xFE80, 0xFEC0, 0x112, 0x20, 0x3F, rng.randrange(65536)]) for _ in range(8)]
+        if rng.random() < 0.7:
+            groups[0] = rng.choice([0x2001, 0x2002, 0xFE80, 0xFEC0, 0xFC00, 0xFF02, 0x64, 0x100, 0, rng.randrange(65536)])
+        if rng.random() < 0.2:
+            groups[:6] = [0, 0, 0, 0, 0, 0xFFFF]
+        ip = ipaddress.IPv6Address(b"".join(g.to_bytes(2, "big") for g in groups))
+        texts.append(rng.choice([str(ip), ip.exploded]))
+    texts += ["::", "1:2", "::1%eth0", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "::1.2.3.4", "::ffff:300.0.0.1", "12345::", "g::", "64:ff9b::8.8.8.8", "1::2::3", ":1", ":"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    assert [r.a for r in df.select("a", urls.private_address(F.col("a")).alias("p")).collect() if r.p != urls.not_public(r.a)] == []
+
+
+RESOLVED = [
+    ("a//b", "https://e.com/b/a//b"), ("../../../x", "https://e.com/x"), ("a/./b/../c", "https://e.com/b/a/c"), ("/a/../b", "https://e.com/b"), ("..", "https://e.com/"), ("a/..", "https://e.com/b/"), ("", "https://e.com/b/toc?q=1"),
+    ("?", "https://e.com/b/toc?"), ("a?b=../c", "https://e.com/b/a?b=../c"), ("a#../b", "https://e.com/b/a#../b"), ("javascript:alert(1)", "javascript:alert(1)"), ("https:foo", "https://e.com/b/foo"), ("  x\n", "https://e.com/b/x"),
+    ("..;x", "https://e.com/b/..;x"), ("...", "https://e.com/b/..."), ("é?ü#ö", "https://e.com/b/%C3%A9?%C3%BC#%C3%B6"), ("mailto:a@b", "mailto:a@b"), ("//h", "https://h"),
+]
+
+
+def test_references_as_a_browser_follows_them(spark):
+    df = spark.createDataFrame([("https://e.com/b/toc?q=1#f", r) for r, _ in RESOLVED], "b string, r string")
+    assert {r.r: r.u for r in df.select("r", urls.resolve(F.col("b"), F.col("r")).alias("u")).collect()} == dict(RESOLVED)
+
+
+@pytest.mark.parametrize("source", ["<![x[y]]>a", "<![foo bar>a", "<![CDATA[x]]>a", "<!x>a", "<?x>a", "</>a", "<p <b>a</p>"])
+def test_odd_declarations_are_comments(source):
+    assert markup.inner_text(markup.parse(source)) == "a"
+
+
+def test_many_siblings_and_deep_pages():
+    import time
+
+    began = time.process_time()
+    root = markup.parse("<ul>" + "<li><a href=x>a</a>" * 40_000)
+    assert len(markup.select(root, "ul li + li a")) == 39_999 and len(markup.select(root, "li ~ li:last-child > a")) == 1
+    markup.parse("<p><div>" * 30_000)
+    assert time.process_time() - began < 10
+
+
+def test_links_count_from_the_base(spark):
+    pages = spark.createDataFrame([(1, "https://e.com/x/", '<base href="../deep/y"><a href="1">'), (2, "https://e.com/x/", '<a href="1"><base href="https://o.org/d/"><base href="/no/">'), (3, "https://e.com/x/", '<a href="1">'), (4, "https://e.com/", None)], "page_id int, url string, html string")
+    got = {r.page_id: r.url for r in links.resolved(links.raw_links(pages, "a")).collect()}
+    assert got == {1: "https://e.com/deep/1", 2: "https://o.org/d/1", 3: "https://e.com/x/1"}
+
+
+def test_a_page_that_cannot_be_read_is_a_reason(spark):
+    from pagewright.operators import records
+
+    pages = spark.createDataFrame([("u", "<h1>t</h1><p>b")], "url string, html string")
+    assert records.chapters(pages, "h1", "p").first().error is None
+    deep = spark.createDataFrame([("u", "<h1>t</h1>"), ("v", None)], "url string, html string")
+    assert {r.url: (r.error, r.detail) for r in records.chapters(deep, "h1", "p").collect()} == {"u": ("selector_not_found", ""), "v": ("selector_not_found", "")}
