@@ -10,7 +10,7 @@ start, so a record of another length alters its own branch only; offsets in the
 An id with more than `COPIES` records, and null ids alike, has archive files of its own, as many as its records need. In them
 equal records are one leaf with their count, and records are dealt to files and places by their hash.
 
-Defined cases: null url or html count as empty; null ids lie in a file that has no number; a record in one replica only is
+Defined cases: null records, urls and html count as empty; null ids lie in a file that has no number; a record in one replica only is
 missing or extra; of an id with several records, those that are not in both replicas are paired in the order of their hashes
 and are damaged as far as there are pairs (inside one file, for an id with files of its own); a row of the result stands for
 `copies` equal records, one for ids that share a file; an empty replica makes every record missing; equal replicas give no
@@ -55,9 +55,8 @@ def warc_record(page_id: Column, url: Column, html: Column, date: str = NO_DATE)
 
 def leaves(records: DataFrame) -> DataFrame:
     """page_id, length, content (hash) of each record (page_id, record); contents go no further than their hash."""
-    return pick(records, "page_id", "record").select(
-        "page_id", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("content")
-    )
+    record = F.coalesce("record", F.lit(""))
+    return pick(records, "page_id", "record").select("page_id", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("content"))
 
 
 def crowded(sides: DataFrame) -> DataFrame:
