@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,18 @@ def chapters(pages: DataFrame, title: str, content: str, *, url: str = "url", ht
     return found.select(*pages.columns, "_f.title", "_f.body", error.alias("error"), F.coalesce("_f.fault", F.lit("")).alias("detail"))
 
 
-def stored(kept: DataFrame, pages: DataFrame) -> DataFrame:
+def stored(kept: DataFrame, pages: DataFrame, *, key: Sequence[str] = ("url",)) -> DataFrame:
     """Kept links (url, ...) with the final_url, html, attempts, error and detail of stored pages; a link without a page is an
-    error."""
-    source = pages.select("url", F.coalesce(F.col("final_url"), F.col("url")).alias("final_url") if "final_url" in pages.columns else F.col("url").alias("final_url"), "html")
-    joined = kept.join(source, "url", "left")
+    error.
+
+    `key` names a page in both tables. Of several pages stored under one key the last by its source counts, so no link is
+    multiplied; only pages that are asked for are compared.
+    """
+    final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    names = list(dict.fromkeys(key))
+    asked = pages.withColumn("final_url", final).select(*names, "final_url", "html").join(kept.select(*names).distinct(), names, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("html"), F.desc("final_url")))
+    joined = kept.join(asked.withColumn("_n", nth).where("_n = 1").drop("_n"), names, "left")
     lost = F.col("html").isNull()
     return joined.withColumns({"attempts": F.lit(1), "error": F.when(lost, "error"), "detail": F.when(lost, "no such page").otherwise("")})
 
@@ -39,9 +48,9 @@ def read(loaded: DataFrame, title: str, content: str) -> DataFrame:
     return told.withColumns({"error": first("error"), "detail": first("detail")}).drop("html", "_error", "_detail")
 
 
-def load(kept: DataFrame, pages: DataFrame, title: str, content: str) -> DataFrame:
+def load(kept: DataFrame, pages: DataFrame, title: str, content: str, *, key: Sequence[str] = ("url",)) -> DataFrame:
     """Kept links read from stored pages."""
-    return read(stored(kept, pages), title, content)
+    return read(stored(kept, pages, key=key), title, content)
 
 
 def outcomes(attempts: DataFrame, *, key: list[str], retries: int = RETRIES) -> DataFrame:
