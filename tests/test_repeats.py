@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pagewright.operators import records
+from pagewright.sources import pages as page_sources
 
 NAV = "<nav><ul>{}</ul></nav>"
 
@@ -48,3 +49,14 @@ def test_several_stored_pages_multiply_no_link(spark):
     pages = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "b"), ("v", None), ("v", "c"), ("x", "d")], "url string, html string")
     assert sorted((r.idx, r.html, r.error) for r in records.stored(kept, pages).collect() if r.html) == [(1, "b", None), (2, "c", None)]
     assert [(r.idx, r.error, r.detail) for r in records.stored(kept, pages).where("html IS NULL").collect()] == [(3, "error", "no such page")]
+
+
+def test_pages_of_an_address_follow_their_own_redirects(spark, folder):
+    same(spark, folder, "redirect_guarded")
+
+
+def test_several_moves_multiply_no_link(spark):
+    links = spark.createDataFrame([("https://e.com/a",), ("https://e.com/p",)], "url string")
+    moves = [("https://e.com/a", "/c"), ("https://e.com/a", "/b"), ("https://e.com/a", "/b"), ("https://e.com/b", None), ("https://e.com/p", "/a"), ("https://e.com/p", "http://10.0.0.1/")]
+    got = page_sources.follow_redirects(links, spark.createDataFrame(moves, "url string, location string")).collect()
+    assert sorted((r.url, r.final_url, r.hops, r.blocked_reason) for r in got) == [("https://e.com/a", "https://e.com/b", 1, None), ("https://e.com/p", "https://e.com/p", 0, "private_address")]
