@@ -15,10 +15,10 @@ FINAL = ("selector_not_found", "not_a_string", "empty", "malformed", "disallowed
 RETRIES = 2
 
 
-def chapters(pages: DataFrame, title: str, content: str, *, url: str = "url", html: str = "html") -> DataFrame:
+def chapters(pages: DataFrame, title: str, content: str, *, url: str = "url", html: str = "html", strict_references: bool = False) -> DataFrame:
     """Adds title and body by their selectors, error and detail: selector_not_found where either matches nothing, error where
-    the page could not be read."""
-    found = pages.withColumn("_f", markup.fields_in(F.col(html), title=title, body=content))
+    the page could not be read. `strict_references` is that of the parser."""
+    found = pages.withColumn("_f", markup.fields_in(F.col(html), strict_references=strict_references, title=title, body=content))
     missing = F.col("_f.title").isNull() | F.col("_f.body").isNull()
     error = F.when(F.col("_f.fault").isNotNull(), "error").when(missing, "selector_not_found")
     return found.select(*pages.columns, "_f.title", "_f.body", error.alias("error"), F.coalesce("_f.fault", F.lit("")).alias("detail"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pagewright.functions import markup
 from pagewright.operators import records
 from pagewright.sources import pages as page_sources
 
@@ -18,6 +19,7 @@ def page(url, links, heading, body="<p>one</p>"):
 PAGES = [
     page("https://a.example/en/1", 6, "First"), page("https://a.example/en/1", 2, "Second"), page("https://a.example/en/1", 6, "First"), page("https://b.example/en/2?page=2", 6, "Third"),
     page("https://b.example/en/2?page=2", 1, "Fourth"), page("https://b.example/en/3#top", 3, "Fifth"), page("https://b.example/en/3#top", 7, "Sixth"), page("https://c.example/en/4", 6, "Last"),
+    page("https://d.example/en/5", 6, "cut &amp;&amp;&amp", "<p>x &am; &a y &amp;lt; &quo</p><p>&lt;&amp</p>"), page("https://d.example/en/6", 6, "cut &quot", "<p>one &amp;copy and &lt</p>"),
 ]
 
 
@@ -60,3 +62,13 @@ def test_several_moves_multiply_no_link(spark):
     moves = [("https://e.com/a", "/c"), ("https://e.com/a", "/b"), ("https://e.com/a", "/b"), ("https://e.com/b", None), ("https://e.com/p", "/a"), ("https://e.com/p", "http://10.0.0.1/")]
     got = page_sources.follow_redirects(links, spark.createDataFrame(moves, "url string, location string")).collect()
     assert sorted((r.url, r.final_url, r.hops, r.blocked_reason) for r in got) == [("https://e.com/a", "https://e.com/b", 1, None), ("https://e.com/p", "https://e.com/p", 0, "private_address")]
+
+
+def test_references_that_were_cut_off():
+    source = "<h1>a &amp;&amp &lt;b&gt; &#65;&#x42; &#67 &copy;&copy AT&T &</h1><script>x && y</script>"
+    assert markup.inner_text(markup.parse(source)) == "a && <b> AB C \xa9\xa9 AT&T &"
+    assert markup.inner_text(markup.parse(source, strict_references=True)) == "a &&amp <b> AB &#67 \xa9&copy AT&T &"
+
+
+def test_chapters_with_references_cut_off(spark, folder):
+    same(spark, folder, "extract_chapter")
