@@ -76,3 +76,7 @@ def test_chapters_with_references_cut_off(spark, folder):
 
 def test_books_of_markdown_with_references_cut_off(spark, folder):
     same(spark, folder, "book_markdown")
+
+
+def test_chapter_files_with_references_cut_off(spark, folder):
+    same(spark, folder, "chapter_file_digests")
