@@ -80,3 +80,7 @@ def test_books_of_markdown_with_references_cut_off(spark, folder):
 
 def test_chapter_files_with_references_cut_off(spark, folder):
     same(spark, folder, "chapter_file_digests")
+
+
+def test_markdown_files_with_references_cut_off(spark, folder):
+    same(spark, folder, "chapter_markdown_files")
