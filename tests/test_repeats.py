@@ -84,3 +84,7 @@ def test_chapter_files_with_references_cut_off(spark, folder):
 
 def test_markdown_files_with_references_cut_off(spark, folder):
     same(spark, folder, "chapter_markdown_files")
+
+
+def test_combined_texts_with_references_cut_off(spark, folder):
+    same(spark, folder, "combined_text")
