@@ -92,3 +92,7 @@ def test_combined_texts_with_references_cut_off(spark, folder):
 
 def test_malformed_pages_with_references_cut_off(spark, folder):
     same(spark, folder, "malformed_chapters")
+
+
+def test_manifests_with_references_cut_off(spark, folder):
+    same(spark, folder, "manifest_lines")
