@@ -96,3 +96,7 @@ def test_malformed_pages_with_references_cut_off(spark, folder):
 
 def test_manifests_with_references_cut_off(spark, folder):
     same(spark, folder, "manifest_lines")
+
+
+def test_resumed_manifests_with_references_cut_off(spark, folder):
+    same(spark, folder, "resumed_manifest_lines")
