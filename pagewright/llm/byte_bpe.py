@@ -12,6 +12,7 @@ repeat a doc_id are encoded each; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,6 +28,8 @@ from pagewright.llm.common import pick, read, released
 CACHED_PIECES = 150_000
 CACHED_PAIRS = 300_000
 CACHED_PIECE_BYTES = 64
+#: Texts of about so many characters are held as pieces at once, and one text at least.
+SPLIT_CHARS = 1 << 20
 
 
 class Vocabulary:
@@ -160,50 +163,75 @@ class PrefixEncoder:
         return got[::-1]
 
 
-def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    """Ids of one piece: the last token of each prefix from the shortest on, then back from the end."""
-    get, known, follows = vocabulary.ranks.get, vocabulary.known, vocabulary.follows
-    whole = get(piece)
-    if whole is not None:
-        return [whole]
-    if len(known) > CACHED_PAIRS:
-        known.clear()
-    if len(piece) > vocabulary.longest:
-        return PrefixEncoder(vocabulary, piece).ids()
-    last = [get(piece[:1])]
-    starts = [0]
-    start = 0
-    for end in range(2, len(piece) + 1):
-        # Only one token ends each prefix, so the order of trials is free: the last one a byte longer is the likeliest.
-        token, tried = get(piece[start:end]), start
-        if token is not None and start:
-            pair = last[start - 1] << 32 | token
-            ok = known.get(pair)
-            if ok is None:
-                ok = known[pair] = follows(last[start - 1], token)
-            if not ok:
-                token = None
-        if token is None:
-            for start in range(end - 1, -1, -1):
-                if start == tried or (token := get(piece[start:end])) is None:
-                    continue
-                if not start:
-                    break
+class PieceEncoder:
+    """Ids of pieces, one after another: the last token of each prefix from the shortest on, then back from the end. What two
+    pieces begin with alike is worked out once where one follows the other, as appending never changes what is stored."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.piece = b""
+        #: Of the prefixes of that piece the last token and where it begins.
+        self.last: list[int] = []
+        self.starts: list[int] = []
+
+    def encode(self, piece: bytes) -> list[int]:
+        vocabulary = self.vocabulary
+        get, known, follows = vocabulary.ranks.get, vocabulary.known, vocabulary.follows
+        whole = get(piece)
+        if whole is not None:
+            return [whole]
+        if len(known) > CACHED_PAIRS:
+            known.clear()
+        if len(piece) > vocabulary.longest:
+            return PrefixEncoder(vocabulary, piece).ids()
+        last, starts, alike = self.last, self.starts, 0
+        for old, new in zip(self.piece, piece):
+            if old != new:
+                break
+            alike += 1
+        self.piece = piece[:alike]  # what is known if this piece fails
+        del last[alike:], starts[alike:]
+        if not last:
+            last.append(get(piece[:1]))
+            starts.append(0)
+        start = starts[-1]
+        for end in range(len(last) + 1, len(piece) + 1):
+            # Only one token ends each prefix, so the order of trials is free: the last one a byte longer is the likeliest.
+            token, tried = get(piece[start:end]), start
+            if token is not None and start:
                 pair = last[start - 1] << 32 | token
                 ok = known.get(pair)
                 if ok is None:
                     ok = known[pair] = follows(last[start - 1], token)
-                if ok:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
-        last.append(token)
-        starts.append(start)
-    ids, at = [], len(piece)
-    while at:
-        ids.append(last[at - 1])
-        at = starts[at - 1]
-    return ids[::-1]
+                if not ok:
+                    token = None
+            if token is None:
+                for start in range(end - 1, -1, -1):
+                    if start == tried or (token := get(piece[start:end])) is None:
+                        continue
+                    if not start:
+                        break
+                    pair = last[start - 1] << 32 | token
+                    ok = known.get(pair)
+                    if ok is None:
+                        ok = known[pair] = follows(last[start - 1], token)
+                    if ok:
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a single byte")
+            last.append(token)
+            starts.append(start)
+        self.piece = piece
+        ids, at = [], len(piece)
+        while at:
+            ids.append(last[at - 1])
+            at = starts[at - 1]
+        return ids[::-1]
+
+
+def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
+    """Ids of one piece."""
+    return PieceEncoder(vocabulary).encode(piece)
 
 
 class _Pieces(dict):
@@ -217,6 +245,20 @@ class _Pieces(dict):
         self.clear()
         self.older = {}
 
+    def learn(self, pieces: set[str]) -> None:
+        """Works out those that are new in the order of their bytes, in which neighbours begin alike."""
+        encode = PieceEncoder(self.vocabulary).encode
+        for piece in sorted(p for p in pieces if p not in self and p not in self.older):
+            raw = piece.encode()
+            if len(raw) <= CACHED_PIECE_BYTES:
+                self.keep(piece, tuple(encode(raw)))
+
+    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
@@ -224,10 +266,7 @@ class _Pieces(dict):
             ids = tuple(encode_piece(self.vocabulary, raw))
             if len(raw) > CACHED_PIECE_BYTES:
                 return ids
-        if len(self) >= CACHED_PIECES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
+        self.keep(piece, ids)
         return ids
 
 
@@ -244,6 +283,20 @@ def _prepared(lines: bytes, pattern: str) -> tuple[Vocabulary, _Pieces, list[byt
     return _ready[key]
 
 
+def _split(texts: list[str | None], split: regex.Pattern, pieces: _Pieces) -> Iterator[list[str]]:
+    """Pieces of each text; those of some texts at a time, of bounded size together, are learned before the texts are given."""
+    held, size = [], 0
+    for text in texts:
+        held.append(split.findall(text or ""))
+        size += len(text or "")
+        if size > SPLIT_CHARS:
+            pieces.learn(set(chain.from_iterable(held)))
+            yield from held
+            held, size = [], 0
+    pieces.learn(set(chain.from_iterable(held)))
+    yield from held
+
+
 def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces, token, digits, split = _prepared(shared.value, pattern)
@@ -251,8 +304,8 @@ def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.Reco
             for part in range(0, batch.num_rows, 500):
                 some = batch.slice(part, 500)
                 counts, id_hashes, decoded, held = [], [], [], array("i")
-                for text in some.column("text").to_pylist():
-                    ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text or ""))))
+                for found in _split(some.column("text").to_pylist(), split, pieces):
+                    ids = list(chain.from_iterable(map(pieces.__getitem__, found)))
                     counts.append(len(ids))
                     id_hashes.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
@@ -267,9 +320,14 @@ def _encoder(shared, pattern: str, keep_ids: bool) -> Callable[[Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Hundreds of thousands of pieces are made and none refers to itself: the cycle collector would walk them in vain.
+        collecting = gc.isenabled()
+        gc.disable()
         try:
             yield from encoded(batches)
         finally:
+            if collecting:
+                gc.enable()
             # The worker process goes on to other tasks and stages, whose memory this would take.
             vocabulary, pieces, *_ = _prepared(shared.value, pattern)
             pieces.forget()
